@@ -26,8 +26,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import LOWER, hash_words, text_buffers, word_bounds
+from .common import LOWER, hash_words, keep, partitions, text_buffers, word_bounds
 from .exchange import Batches, cut, message_table
 
 TOP, CLASS_SIZE = 4096, 64
@@ -385,22 +386,28 @@ def score_texts(docs: DataFrame) -> DataFrame:
     model = initial(vocabulary)
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)  # TOP entries
 
+    def streams(rows: pa.Table, got) -> pa.Table:
+        t, v = Tokens(rows), shared_vocabulary.value
+        ids = v.inputs(t.distinct, t.counts(bits, got.get(0, {})) - 1)[t.which]
+        turn = np.array([(remainder(i, FOLDS * SHARE) // FOLDS) % SHARE if f else SHARE for f, i in zip(t.fold, t.ids, strict=True)], dtype=np.int64)
+        parts = [ids[turn[t.row] == k].astype("<u2") for k in range(ROUNDS)]
+        return pa.table([pa.array(range(ROUNDS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["round", "ids"])
+
+    written = keep(batches.ask(streams, answers, "round int, ids binary"), "streams")
+    end = vocabulary.inputs(np.array([END_KEY]), np.array([0])).astype("<u2")
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)  # a fixed number of parameters
 
-        def learn(rows: pa.Table, got, k=k, shared=shared) -> pa.Table:
-            t, v = Tokens(rows), shared_vocabulary.value
-            count = t.counts(bits, got.get(0, {}))
-            ids = v.inputs(t.distinct, count - 1)[t.which]
-            chosen = np.array([f != 0 and (remainder(i, FOLDS * SHARE) // FOLDS) % SHARE == k for f, i in zip(t.fold, t.ids, strict=True)], bool)
-            part = ids[chosen[t.row]]
-            if len(part) < 3:
-                return pa.table([pa.array([], pa.float64()), pa.array([], pa.binary())], names=["weight", "p"])
-            end = v.inputs(np.array([END_KEY]), np.array([0]))
-            p = train_stream(shared.value, np.concatenate([end, part]))
-            return pa.table([pa.array([float(len(part))]), pa.array([flatten(p).tobytes()], pa.binary())], names=["weight", "p"])
-
-        model = _average(batches.ask(learn, answers, "weight double, p binary"), model)
+        def learn(parts, shared=shared):
+            for part in parts:
+                for raw in part.column(0):
+                    ids = np.frombuffer(raw.as_py(), "<u2")
+                    if len(ids) > 2:
+                        p = train_stream(shared.value, np.concatenate([end, ids]).astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array([float(len(ids))]), pa.array([flatten(p).tobytes()], pa.binary())], names=["weight", "p"])
+
+        part = written.where(F.col("round") == k).select("ids").repartition(partitions(spark))
+        model = _average(part.mapInArrow(learn, "weight double, p binary"), model)
 
     final = spark.sparkContext.broadcast(model)
 
