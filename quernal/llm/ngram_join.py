@@ -1,9 +1,9 @@
 """Exact Jaccard self-join of shingle sets, by set-relation skipping.
 
 Equal sets are one class.  A class is indexed under the rarest shingles of its
-set (the prefix that any partner must share one of); rarity comes from a
-fixed-size count sketch, whose errors change the order and so the work, but not
-the result.
+set (the prefix that any partner must share one of).  How many sets have a
+shingle is found by the batch exchange, four bytes a shingle and batch; keys
+that collide there change the order and so the work, but not the result.
 
 Index-level skipping: index lists are cut into blocks by set size, and a
 posting's position in its set bounds the size of the partners it can have, so a
@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, col, hash_words, join_hash, keep, mix64, partitions, shared_dir, slices, text_buffers, word_bounds
+from .exchange import Batches, cut, message_table
 from .graph import components
 
 SHINGLE = 3
-SKETCH_BITS = 19
-SLICES = 64
 BLOOM_BITS = 23
 ROUNDS = 3
-#: A shingle in more documents than this (and far over the sketch's mean) has its list split.
+#: A shingle in more sets than this has its list split.
 HOT_ROWS = 1 << 16
 NO_ID = -(1 << 63)
 
@@ -80,31 +79,43 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long")
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """Document counts by the leading SKETCH_BITS bits of the shingles: a table of fixed size."""
+def _pack(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
+    """A bucket's keys without the bits that name the bucket, and their counts up to 255."""
+    low = (keys >> np.uint64(32 - bits)).astype("<u4")
+    return low.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
-    def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in slices(batches, "text"):
-            sets = shingle_sets(col(batch, "text"))
-            if sets:
-                cell = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                total += np.bincount(cell, minlength=len(total))
-        parts = np.split(total, SLICES)
-        wide = [p.astype("<u4" if p.max() < 1 << 32 else "<u8") for p in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.dtype.itemsize for p in wide], pa.int32()), pa.array([p.tobytes() for p in wide], pa.binary())], names=["slice", "width", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
-        for w, p in zip(table["width"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            total += np.frombuffer(p, f"<u{w}").astype(np.int64)
-        return pa.table([table["slice"][:1], pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
-
-    got = docs.select("text").mapInArrow(count, "slice int, width int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
-    for r in got:
-        out[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return out.ravel()
+
+def answer_rarity(bucket, batches, payloads):
+    """For each key the bit length of the number of sets that have it."""
+    size = [len(p) // 5 for p in payloads]
+    keys = np.concatenate([np.frombuffer(p, "<u4", n) for p, n in zip(payloads, size, strict=True)])
+    counts = np.concatenate([np.frombuffer(p, np.uint8, n, 4 * n) for p, n in zip(payloads, size, strict=True)])
+    u, inverse = np.unique(keys, return_inverse=True)
+    rank = np.frexp(np.bincount(inverse, counts, len(u)))[1].astype(np.uint8)[inverse]
+    return [(b, x.tobytes()) for b, x in zip(batches, np.split(rank, np.cumsum(size)[:-1]), strict=True)]
+
+
+class BatchSets:
+    """A batch's different sets, and the distinct shingles in them."""
+
+    def __init__(self, rows: pa.Table):
+        self.sets: dict[tuple[int, int], np.ndarray] = {}
+        for s in shingle_sets(rows["text"]):
+            if len(s):
+                self.sets.setdefault(signature(s), s)
+        whole = np.concatenate(list(self.sets.values())) if self.sets else np.zeros(0, np.uint64)
+        self.keys, self.which, self.counts = np.unique(whole, return_inverse=True, return_counts=True)
+
+    def messages(self, batch: int, bits: int) -> pa.Table:
+        present, at = cut(self.keys, bits)
+        return message_table([(int(b), batch, _pack(self.keys[at[k] : at[k + 1]], self.counts[at[k] : at[k + 1]], bits)) for k, b in enumerate(present)])
+
+    def rarity(self, bits: int, answers: dict[int, bytes]) -> np.ndarray:
+        present, at = cut(self.keys, bits)
+        out = np.zeros(len(self.keys), np.uint8)
+        for k, b in enumerate(present):
+            out[at[k] : at[k + 1]] = np.frombuffer(answers[int(b)], np.uint8)
+        return out[self.which]
 
 
 def prefix_size(n: int) -> int:
@@ -112,33 +123,33 @@ def prefix_size(n: int) -> int:
     return n - (9 * n + 9) // 10 + 1 if n else 0
 
 
-def _postings(docs: DataFrame, rarity: np.ndarray, pieces: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((rarity, pieces))  # 2^SKETCH_BITS entries each
-
-    def run(batches):
-        rank, piece_of = shared.value
-        for batch in slices(batches, "text"):
-            seen, token, hi, lo, size, pos, piece = set(), [], [], [], [], [], []
-            for s in shingle_sets(col(batch, "text")):
-                n = len(s)
-                if not n or (sig := signature(s)) in seen:
-                    continue
-                seen.add(sig)
-                cell = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                key = (rank[cell] << np.uint64(58)) | (s >> np.uint64(6))
-                k = prefix_size(n)
-                order = np.argsort(key)[:k]
-                token.append(key[order].view(np.int64))
-                spread = piece_of[cell[order]]
-                piece.append(np.where(spread > 1, abs(sig[0]) % spread + 1, 0))
-                hi.append(np.full(k, sig[0]))
-                lo.append(np.full(k, sig[1]))
-                size.append(np.full(k, n))
-                pos.append(np.arange(k))
-            arrays = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (token, hi, lo, size, pos, piece)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["token", "hi", "lo", "n", "pos", "piece"])
-
-    return docs.select("text").mapInArrow(run, "token long, hi long, lo long, n long, pos long, piece long")
+def _postings(batches: Batches, replies: DataFrame, hot_rows: int) -> DataFrame:
+    """Prefix postings of all sets, without shingles that no other set has."""
+    bits, hot_bits = batches.bits, max(0, hot_rows.bit_length() - 1)
+
+    def run(rows: pa.Table, answers) -> pa.Table:
+        batch = BatchSets(rows)
+        rank, at = batch.rarity(bits, answers.get(0, {})), 0
+        token, hi, lo, size, pos, piece = [], [], [], [], [], []
+        for sig, s in batch.sets.items():
+            n = len(s)
+            r = rank[at : at + n].astype(np.uint64)
+            at += n
+            key = (r << np.uint64(58)) | (s >> np.uint64(6))
+            order = np.argsort(key)[: prefix_size(n)]
+            place = np.flatnonzero(r[order] > 1)
+            order = order[place]
+            token.append(key[order].view(np.int64))
+            spread = np.left_shift(1, np.maximum(r[order].astype(np.int64) - 1 - hot_bits, 0))
+            piece.append(np.where(spread > 1, abs(sig[0]) % spread + 1, 0))
+            hi.append(np.full(len(order), sig[0]))
+            lo.append(np.full(len(order), sig[1]))
+            size.append(np.full(len(order), n))
+            pos.append(place)
+        arrays = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (token, hi, lo, size, pos, piece)]
+        return pa.table([pa.array(a) for a in arrays], names=["token", "hi", "lo", "n", "pos", "piece"])
+
+    return batches.ask(run, replies, "token long, hi long, lo long, n long, pos long, piece long")
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
@@ -250,14 +261,13 @@ def join_sets(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     smallest id that is not null; repeated rows are in one class; rows that
     share an id but not a text are separate; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    batches = Batches(docs.select("doc_id", "text"))
+    bits = batches.bits
+    docs = batches.table
     rows = keep(_docs(docs), "shingled")
-    counts = sketch(docs)
-    rarity = np.minimum(np.frexp(np.maximum(counts, 1).astype(np.float64))[1], 63).astype(np.uint64)
-    hot = counts > max(hot_rows, 8 * counts.mean())
-    pieces = np.where(hot, -(-counts // max(1, hot_rows)), 1)
     classes = rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    lists = keep(_shared_lists(_postings(docs, rarity, pieces)), "lists")
+    replies = batches.settle(batches.ask(lambda t, _: BatchSets(t).messages(t["batch_id"][0].as_py(), bits), None), answer_rarity, 0)
+    lists = keep(_shared_lists(_postings(batches, replies, hot_rows)), "lists")
     nodes = keep(lists.select("hi", "lo").distinct().join(classes, ["hi", "lo"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = None
     if not nodes.isEmpty():
