@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 BLOCK = 1 << 18
 BATCH_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -58,11 +59,13 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    off = np.frombuffer(column.buffers()[1], kind, n + 1, column.offset * kind().itemsize).astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]
@@ -119,9 +122,10 @@ def join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix64(left * U64(0x9E3779B97F4A7C15) + right * U64(0xC2B2AE3D27D4EB4F))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most `limit` text bytes, or one row."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         if batch.num_rows == 0:
             continue
         _, off = text_buffers(batch.column(batch.schema.get_field_index(column)))

@@ -31,7 +31,8 @@ from .graph import components
 
 SHINGLE = 3
 BLOOM_BITS = 23
-ROUNDS = 3
+#: Rounds of comparisons with leaders, and how many leaders a set is compared with in each.
+LEADERS = (1, 8)
 #: A shingle in more sets than this has its list split.
 HOT_ROWS = 1 << 16
 NO_ID = -(1 << 63)
@@ -250,6 +251,20 @@ def _may_link(n, i, m, j):
     return (10 * F.least(n, m) >= 9 * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
 
 
+def _share_enough(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs that share as many prefix shingles as linked sets must.
+
+    Common shingles up to the end of the prefix that ends first lie in both
+    prefixes; beyond it that set has ceil(0.9 n) - 1 shingles left.
+    """
+    a = prefixes.select(F.col("node").alias("x"), F.col("tokens").alias("a"))
+    b = prefixes.select(F.col("node").alias("y"), F.col("tokens").alias("b"))
+    nx, ny = F.col("nx"), F.col("ny")
+    need = F.ceil(9 * (nx + ny) / F.lit(19.0) - F.lit(1e-9)) - F.ceil(9 * F.greatest(nx, ny) / F.lit(10.0) - F.lit(1e-9)) + 1
+    both = pairs.join(a, "x").join(b, "y").where(F.size(F.array_intersect("a", "b")) >= need)
+    return both.select("x", "nx", "y", "ny")
+
+
 LINKED = "19 * apart <= nx + ny"
 
 
@@ -293,18 +308,23 @@ def _links(docs: DataFrame, nodes: DataFrame, postings: DataFrame) -> DataFrame
             return postings.withColumn("comp", F.col("node"))
         return postings.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    for k in range(ROUNDS):
-        now = labelled().withColumn("block", _block(F.col("n"), k / ROUNDS))
-        first = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
+    prefixes = keep(postings.groupBy("node").agg(F.collect_list("token").alias("tokens")), "prefixes")  # at most a prefix a row
+    for k, most in enumerate(LEADERS):
+        now = labelled().withColumn("block", _block(F.col("n"), k / len(LEADERS)))
+        # Rare shingles come first, so a set whose shared ones start early has little of its own:
+        # such a central set leads, at first over all of a list, later over a quarter of it.
+        out = F.lit(0) if k == 0 else (F.pmod(F.xxhash64("node", "token", F.lit(k)), F.lit(4)) > 0).cast("int")
+        first = F.struct(out.alias("out"), (F.col("pos") / F.col("n")).alias("own"), F.xxhash64("node").alias("h"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
         leaders = now.groupBy("token", "block").agg(F.min(first).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "block", "l.*")
         met = now.join(leaders.hint("merge"), ["token", "block"]).where((F.col("comp") != F.col("cy")) & _may_link(F.col("n"), F.col("pos"), F.col("ny"), F.col("py")))
         tally = met.groupBy(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny").agg(F.count(F.lit(1)).alias("c"))
-        pairs = tally.groupBy("x", "nx").agg(F.max(F.struct("c", "y", "ny")).alias("b")).select("x", "nx", "b.y", "b.ny")
-        new = store.compare(pairs)
+        at = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))
+        pairs = tally.withColumn("at", at).where(F.col("at") <= most).select("x", "nx", "y", "ny")
+        new = store.compare(_share_enough(pairs, prefixes))
         compared = new if compared is None else compared.unionByName(new)
-        if new.isEmpty():
-            break
         comp = components(compared.where(LINKED).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        if k == 0:
+            near = new
     # What is left: pairs of different components whose postings may link, read block by block.
     left = keep(labelled().where("comp is not null"), "left")
     mixed = left.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
@@ -316,8 +336,8 @@ def _links(docs: DataFrame, nodes: DataFrame, postings: DataFrame) -> DataFrame
     ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     open_pairs = probe.join(index, ["token", "block"]).where(ordered & (F.col("cx") != F.col("cy")) & _may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"))).select("x", "nx", "y", "ny").distinct()
     known = compared.select("x", "y").unionByName(compared.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    open_pairs = keep(open_pairs.join(known, ["x", "y"], "left_anti"), "open")
-    near = keep(compared.select(F.col("x").alias("node"), F.col("y").alias("via"), "apart").distinct(), "near")
+    open_pairs = keep(_share_enough(open_pairs, prefixes).join(known, ["x", "y"], "left_anti"), "open")
+    near = near.select(F.col("x").alias("node"), F.col("y").alias("via"), "apart")  # one leader a set
     dx = near.select(F.col("node").alias("x"), "via", F.col("apart").alias("ax"))
     dy = near.select(F.col("node").alias("y"), "via", F.col("apart").alias("ay"))
     derived = open_pairs.join(dx, "x").join(dy, ["y", "via"]).groupBy("x", "nx", "y", "ny").agg(F.min(F.col("ax") + F.col("ay")).alias("most"), F.max(F.abs(F.col("ax") - F.col("ay"))).alias("least"))
