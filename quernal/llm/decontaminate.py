@@ -35,16 +35,18 @@ def shingle_rows(words: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tup
     A row with fewer than WORDS words has one shingle, all of it.
     """
     n = len(words)
-    h, weight = words.copy(), sizes.astype(np.int64)
-    end = np.repeat(first[1:], np.diff(first))
+    run = np.append(0, np.cumsum(sizes))
+    h, count = words.copy(), np.diff(first)
     for k in range(1, WORDS):
-        inside = np.flatnonzero(np.arange(n) + k < end)
-        h[inside] = join_hash(h[inside], words[inside + k])
-        weight[inside] += sizes[inside + k]
-    whole = np.arange(n) + WORDS <= end
-    short = np.diff(first)
-    whole[first[:-1][(short > 0) & (short < WORDS)]] = True
-    return h, weight, whole
+        h[: n - k] = join_hash(h[: n - k], words[k:])
+    stop = np.repeat(first[1:], count)
+    whole = np.arange(n) + WORDS <= stop
+    for i in first[:-1][(count > 0) & (count < WORDS)]:
+        joined = words[i : i + 1]
+        for k in range(i + 1, stop[i]):
+            joined = join_hash(joined, words[k : k + 1])
+        h[i], whole[i] = joined[0], True
+    return h, run[np.minimum(np.arange(n) + WORDS, stop)] - run[:-1], whole
 
 
 def _signs(h: np.ndarray) -> np.ndarray:
@@ -79,6 +81,8 @@ class ItemIndex:
             prints.append(fingerprint(h[pick], weight[pick]))
         self.prints = np.array(prints, np.uint8).reshape(len(prints), BITS)
         self.known = np.unique(np.concatenate([h for h, _ in self.shingles])) if prints else np.zeros(0, np.uint64)
+        self.common = np.zeros(1 << 20, bool)
+        self.common[self.known >> np.uint64(44)] = True
         self.edges = np.linspace(0, BITS, RADIUS + 2).astype(int)
         self.blocks: list[dict[bytes, np.ndarray]] = []
         for a, b in zip(self.edges[:-1], self.edges[1:], strict=True):
@@ -87,6 +91,8 @@ class ItemIndex:
                 of.setdefault(p[a:b].tobytes(), []).append(i)
             self.blocks.append({k: np.array(v) for k, v in of.items()})
         self.by_size: dict[int, np.ndarray] = {n: np.flatnonzero(np.array(self.n_words) == n) for n in set(self.n_words)}
+        # Which known shingles the items of each size have.
+        self.of_size = {n: np.isin(self.known, np.concatenate([self.shingles[i][0] for i in items])) for n, items in self.by_size.items()}
 
     def within(self, p: np.ndarray) -> np.ndarray:
         """All items whose fingerprint lies within RADIUS bits."""
@@ -113,33 +119,34 @@ def search(index: ItemIndex, column) -> list[tuple[int, int, float, int, int]]:
         return []
     words = hash_words(LOWER[data], starts, ends)
     h, weight, whole = shingle_rows(words, ends - starts, first)
-    at = np.searchsorted(index.known, h)
-    hit = whole & (index.known[np.minimum(at, len(index.known) - 1)] == h)
-    hits = np.flatnonzero(hit)
+    near = np.flatnonzero(index.common[h >> np.uint64(44)] & whole)
+    at = np.minimum(np.searchsorted(index.known, h[near]), len(index.known) - 1)
+    right = index.known[at] == h[near]
+    hits, of = near[right], at[right]
     if not len(hits):
         return []
-    row = np.searchsorted(first, hits, "right") - 1
+    run = np.append(0, np.cumsum(np.where(whole, weight, 0)))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for n, items in index.by_size.items():
-        wanted = set(items.tolist())
-        # Windows of n words over some hit: their starts run from n - WORDS words before the hit to the hit.
-        span = max(0, n - WORDS)
-        lo = np.maximum(hits - span, first[row])
-        hi = np.minimum(hits, np.maximum(first[row + 1] - n, first[row]))
-        ok = lo <= hi
-        if not ok.any():
+        mine = hits[index.of_size[n][of]]
+        if not len(mine):
             continue
-        marks = np.zeros(len(words) + 1, np.int32)
-        np.add.at(marks, lo[ok], 1)
-        np.add.at(marks, hi[ok] + 1, -1)
-        begin = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-        begin_row = np.searchsorted(first, begin, "right") - 1
+        wanted = set(items.tolist())
+        row = np.searchsorted(first, mine, "right") - 1
+        # Windows of n words over some hit start between n - WORDS words before it and the hit.
+        lo = np.maximum(mine - max(0, n - WORDS), first[row])
+        hi = np.maximum(np.minimum(mine, first[row + 1] - n), first[row])
+        # Hits ascend, so each range adds the starts beyond the one before.
+        lo[1:] = np.maximum(lo[1:], np.maximum.accumulate(hi)[:-1] + 1)
+        size = np.maximum(hi - lo + 1, 0)
+        begin = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        begin_row = np.repeat(row, size)
         stop = np.minimum(begin + n, first[begin_row + 1])
-        # A window can reach the similarity only if its hits weigh SIMILARITY of what it holds.
-        run = np.concatenate([[0], np.cumsum(np.where(whole, weight, 0))])
-        run_hit = np.concatenate([[0], np.cumsum(np.where(hit, weight, 0))])
         last = np.maximum(stop - WORDS + 1, begin + 1)
-        dense = (run_hit[last] - run_hit[begin]) >= SIMILARITY * (run[last] - run[begin])
+        # A window can reach the similarity only if its hits weigh SIMILARITY of what it holds.
+        run_hit = np.append(0, np.cumsum(weight[mine]))
+        got = run_hit[np.searchsorted(mine, last)] - run_hit[np.searchsorted(mine, begin)]
+        dense = got >= SIMILARITY * (run[last] - run[begin])
         for i, r, e in zip(begin[dense], begin_row[dense], last[dense], strict=True):
             pick = np.flatnonzero(whole[i:e]) + i
             if not len(pick):
