@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import interval_queries, relational_queries
+
+QUERIES: dict = interval_queries.QUERIES | relational_queries.QUERIES
+ORACLE_SQL: dict[str, str] = interval_queries.ORACLE_SQL | relational_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Counts by class for every supplier, in a fixed order."""
+    return relational_queries.genotype_class_counts(spark, sf_dir).orderBy("l_suppkey")
