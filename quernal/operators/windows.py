@@ -63,6 +63,13 @@ def rolling(value: str, keys: list[str], order: list[str], size: int, how=F.avg)
     return how(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-back, size - 1 - back))
 
 
+def rolling_median(value: str, keys: list[str], order: list[str], size: int) -> Column:
+    """Median of the non-null values of the centred window."""
+    held = F.array_sort(rolling(value, keys, order, size, F.collect_list))
+    n = F.size(held)
+    return F.when(n > 0, (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2)
+
+
 def percentile_rank(df: DataFrame, reference: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Fraction of the reference values of the key that are <= each value."""
     r = reference.select(*keys, F.col(value).alias("_v"), F.lit(0).alias("_k"))

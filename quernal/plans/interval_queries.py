@@ -125,30 +125,30 @@ def interval_coverage_union(spark, sf):
     return iv.coverage(s.where("id % 3 <> 0"), s.where("id % 3 = 0"), ["key"], "id", WIDTH).select("key", "id", "covered")
 
 
-@query(f"""WITH {SPANS} SELECT a.key, a.id, CAST(coalesce(sum(least(a."end", b."end") - greatest(a.start, b.start)), 0) AS BIGINT) AS covered
+@query(f"""WITH {SPANS} SELECT a.key, a.id, CAST(coalesce(sum(CASE WHEN b.id IS NOT NULL THEN least(a."end", b."end") - greatest(a.start, b.start) END), 0) AS BIGINT) AS covered
 FROM spans a LEFT JOIN spans b ON a.key = b.key AND b.id % 3 = 0 AND a.start < b."end" AND b.start < a."end" WHERE a.id % 3 <> 0 GROUP BY a.key, a.id""")
 def interval_coverage_sum(spark, sf):
     s = spans(spark, sf)
     return iv.coverage(s.where("id % 3 <> 0"), s.where("id % 3 = 0"), ["key"], "id", WIDTH, "sum").select("key", "id", "covered")
 
 
-_POINTS = "p AS (SELECT l_orderkey * 10 + l_linenumber AS point, o_custkey AS key, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+_POINTS = "p AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS point, o_custkey AS key, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
 def points(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
     p = read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point"), "l_orderkey", F.unix_date(F.to_date("l_shipdate")).cast("long").alias("pos"))
-    return p.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("point", "key", "pos")
+    return p.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("point", "key", "pos").distinct()
 
 
-@query(f"""WITH {SPANS}, {_POINTS}, r AS (SELECT point, p.key, pos, s.id, s."end", row_number() OVER (PARTITION BY point ORDER BY s.start DESC, s."end" DESC, s.id DESC) AS k
+@query(f"""WITH {SPANS}, {_POINTS}, r AS (SELECT point, p.key, pos, s.id, s."end", row_number() OVER (PARTITION BY point, pos ORDER BY s.start DESC, s."end" DESC, s.id DESC) AS k
  FROM p LEFT JOIN spans s ON s.key = p.key AND s.start <= pos) SELECT point, key, pos, CASE WHEN "end" > pos THEN id END AS range_id FROM r WHERE k = 1""")
 def point_in_last_started_interval(spark, sf):
     return iv.last_started(points(spark, sf), spans(spark, sf), ["key"], "pos").select("point", "key", "pos", "range_id")
 
 
 @query(f"""WITH {_POINTS}, o AS (SELECT DISTINCT o_custkey AS key, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS d FROM orders),
-r AS (SELECT point, p.key, d, abs(pos - d) AS x, row_number() OVER (PARTITION BY point ORDER BY abs(pos - d), d) AS k FROM p JOIN o ON o.key = p.key)
+r AS (SELECT point, p.key, d, abs(pos - d) AS x, row_number() OVER (PARTITION BY point, pos ORDER BY abs(pos - d), d) AS k FROM p JOIN o ON o.key = p.key)
 SELECT point, key, CASE WHEN x <= 30 THEN d END AS nearest, CASE WHEN x <= 30 THEN x END AS distance FROM r WHERE k = 1""")
 def nearest_within_tolerance(spark, sf):
     marks = read(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.unix_date(F.to_date("o_orderdate")).cast("long").alias("d"))
@@ -233,7 +233,7 @@ def benjamini_hochberg(spark, sf):
  round(median(value) OVER (PARTITION BY user_id ORDER BY pos, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS median FROM ev""")
 def rolling_mean_and_median(spark, sf):
     order = (["user_id"], ["pos", "event_id"], 5)
-    return events(spark, sf).select("event_id", F.round(wn.rolling("value", *order), 6).alias("mean"), F.round(wn.rolling("value", *order, how=F.median), 6).alias("median"))
+    return events(spark, sf).select("event_id", F.round(wn.rolling("value", *order), 6).alias("mean"), F.round(wn.rolling_median("value", *order), 6).alias("median"))
 
 
 @query("""SELECT c_custkey, round((SELECT count(*) FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s_acctbal <= c_acctbal) / nullif((SELECT count(*) FROM supplier s WHERE s.s_nationkey = c.c_nationkey), 0), 9) AS fraction FROM customer c""")
