@@ -123,15 +123,33 @@ def search(index: ItemIndex, column) -> list[tuple[int, int, float, int, int]]:
     at = np.minimum(np.searchsorted(index.known, h[near]), len(index.known) - 1)
     right = index.known[at] == h[near]
     hits, of = near[right], at[right]
-    if not len(hits):
+    if not len(hits) and min(index.by_size) >= WORDS:
         return []
     run = np.append(0, np.cumsum(np.where(whole, weight, 0)))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
+
+    def check(i, r, n, items, shingles, weights):
+        """Items of n words that the index finds for a window and the exact similarity confirms."""
+        for item in index.within(fingerprint(shingles, weights)):
+            if item in items and (s := index.similarity(item, shingles, weights)) >= SIMILARITY:
+                k = (int(r), int(index.ids[item]))
+                if k not in best or (-s, i) < (-best[k][0], best[k][1]):
+                    best[k] = (s, int(i), n)
+
+    bytes_to = np.append(0, np.cumsum(ends - starts))
     for n, items in index.by_size.items():
+        wanted = set(items.tolist())
+        if n < WORDS:  # such an item is one shingle of all its words
+            short = words.copy()
+            for k in range(1, n):
+                short[: len(words) - k] = join_hash(short[: len(words) - k], words[k:])
+            row_end = np.repeat(first[1:], np.diff(first))
+            for i in np.flatnonzero((np.arange(len(words)) + n <= row_end) & np.isin(short, index.known)):
+                check(i, np.searchsorted(first, i, "right") - 1, n, wanted, short[i : i + 1], bytes_to[i + n : i + n + 1] - bytes_to[i])
+            continue
         mine = hits[index.of_size[n][of]]
         if not len(mine):
             continue
-        wanted = set(items.tolist())
         row = np.searchsorted(first, mine, "right") - 1
         # Windows of n words over some hit start between n - WORDS words before it and the hit.
         lo = np.maximum(mine - max(0, n - WORDS), first[row])
@@ -149,13 +167,8 @@ def search(index: ItemIndex, column) -> list[tuple[int, int, float, int, int]]:
         dense = got >= SIMILARITY * (run[last] - run[begin])
         for i, r, e in zip(begin[dense], begin_row[dense], last[dense], strict=True):
             pick = np.flatnonzero(whole[i:e]) + i
-            if not len(pick):
-                continue
-            for item in index.within(fingerprint(h[pick], weight[pick])):
-                if item in wanted and (s := index.similarity(item, h[pick], weight[pick])) >= SIMILARITY:
-                    k = (int(r), int(index.ids[item]))
-                    if k not in best or (-s, i) < (-best[k][0], best[k][1]):
-                        best[k] = (s, int(i), n)
+            if len(pick):
+                check(i, r, n, wanted, h[pick], weight[pick])
     return [(r, item, s, int(i - first[r]), n) for (r, item), (s, i, n) in best.items()]
 
 

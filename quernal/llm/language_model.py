@@ -234,7 +234,9 @@ def by_class(target: np.ndarray):
     k = target[rows] // CLASS_SIZE
     order = np.argsort(k, kind="stable")
     rows, k = rows[order], k[order]
-    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    if not len(k):
+        return
+    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     for a, b in zip(begin, np.append(begin[1:], len(k)), strict=True):
         yield int(k[a]), rows[a:b]
 

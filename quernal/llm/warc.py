@@ -105,23 +105,19 @@ def stream_records(chunks):
 
 def inflate(raw: bytes, step: int = 1 << 20):
     """Bytes of a gzip file, whether it has one member or many, in bounded pieces."""
-    z = zlib.decompressobj(31)
     at = 0
-    while at < len(raw) or z.unconsumed_tail:
-        if z.eof:
-            rest = z.unused_data + raw[at:]
-            if not rest:
-                return
-            raw, at, z = rest, 0, zlib.decompressobj(31)
-        piece = z.unconsumed_tail or raw[at : at + step]
-        if not z.unconsumed_tail:
-            at += step
-        yield z.decompress(piece, 4 * step)
-    while not z.eof:
-        out = z.decompress(b"", 4 * step)
-        if not out:
-            raise ValueError("truncated gzip stream")
-        yield out
+    while at < len(raw):
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            piece = z.unconsumed_tail
+            if not piece:
+                piece = raw[at : at + step]
+                at += len(piece)
+            out = z.decompress(piece, 4 * step)
+            if not piece and not out and not z.eof:
+                raise ValueError("truncated gzip stream")
+            yield out
+        at -= len(z.unused_data)
 
 
 def normalise_bytes(raw: bytes) -> tuple[bytes, list[dict]]:
