@@ -32,7 +32,7 @@ def hudson_terms(p1: Column, n1: Column, p2: Column, n2: Column) -> tuple[Column
 
 def terms(x: Column, separator: str = ";") -> Column:
     """Trimmed, non-empty, distinct terms."""
-    return F.array_distinct(F.filter(F.transform(F.split(x, separator), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(x, separator), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def microhomology(left: Column, right: Column, most: int) -> Column:
