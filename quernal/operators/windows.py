@@ -44,17 +44,42 @@ def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return a.join(spread, keys).withColumn("z", z).drop("_m", "_a", "_s", "_mad")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, ident: str, keys: list[str] | None = None) -> DataFrame:
-    """q = min over the tail of p * n / rank, at most 1.
+def running_total(df: DataFrame, order: str, value: str, buckets: int = 64, tail_min: str | None = None) -> DataFrame:
+    """Adds `total`, the sum of value up to each row of a column of distinct orders.
 
-    The families are `keys`; without keys it is one family and one sort, as the
-    definition asks for a total order: use it on one row per tested item.
+    Rows are cut into buckets at quantiles of the order; only the buckets' sums
+    (one row a bucket) are ordered in one task.  With `tail_min`, an SQL
+    expression over the row and `total`, adds `least`, its minimum from each
+    row to the end.
     """
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    order = part.orderBy(p, ident)
-    n, rank = F.count(F.lit(1)).over(part), F.row_number().over(order)
-    raw = df.withColumn("_q", F.least(F.lit(1.0), F.col(p) * n / rank))
-    return raw.withColumn("q", F.min("_q").over(order.rowsBetween(0, Window.unboundedFollowing))).drop("_q")
+    edges = df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.1 / buckets)
+    bucket = F.lit(0)
+    for e in dict.fromkeys(edges):
+        bucket = bucket + (F.col(order) > e).cast("int")
+    rows = df.withColumn("_b", bucket)
+    sums = rows.groupBy("_b").agg(F.sum(value).alias("_s"))
+    before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))
+    local = Window.partitionBy("_b").orderBy(order)
+    out = rows.join(F.broadcast(before), "_b").withColumn("total", F.col("_before") + F.sum(value).over(local))
+    if tail_min is None:
+        return out.drop("_b", "_before")
+    out = out.withColumn("_t", F.expr(tail_min))
+    ends = out.groupBy("_b").agg(F.min("_t").alias("_m"))
+    after = ends.select("_b", F.min("_m").over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    here = F.min("_t").over(local.rowsBetween(0, Window.unboundedFollowing))
+    return out.join(F.broadcast(after), "_b").withColumn("least", F.least(here, F.col("_after"))).drop("_b", "_before", "_t", "_after")
+
+
+def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
+    """q = min over the tail of p * n / rank, at most 1; equal p have equal q, null p a null q.
+
+    Works on the distinct values of p with their counts, as ties share the
+    largest rank among them.
+    """
+    tests = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    n = tests.agg(F.sum("_k")).first()[0] or 0
+    q = running_total(tests, "_p", "_k", tail_min=f"least(1D, _p * {n} / total)").select("_p", F.col("least").alias("q"))
+    return df.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def rolling(value: str, keys: list[str], order: list[str], size: int, how=F.avg) -> Column:

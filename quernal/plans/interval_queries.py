@@ -226,7 +226,7 @@ r AS (SELECT l_partkey, p, least(1.0, p * count(*) OVER () / row_number() OVER (
 SELECT l_partkey, round(min(raw) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS q FROM r""")
 def benjamini_hochberg(spark, sf):
     t = read(spark, sf, "lineitem").groupBy("l_partkey").agg((F.count_if(F.col("l_returnflag") == "R") / (F.count(F.lit(1)) + 1.0)).alias("p"))
-    return wn.benjamini_hochberg(t, "p", "l_partkey").select("l_partkey", F.round("q", 9).alias("q"))
+    return wn.benjamini_hochberg(t, "p").select("l_partkey", F.round("q", 9).alias("q"))
 
 
 @query(f"""WITH {EVENTS} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY pos, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS mean,

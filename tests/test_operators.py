@@ -134,5 +134,5 @@ def test_streaming_equals_batch(spark, tmp_path):
 
 def test_adjusted_p_is_monotone(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.5, 1.0])], "id long, p double")
-    got = [r.q for r in windows.benjamini_hochberg(df, "p", "id").orderBy("id").collect()]
+    got = [r.q for r in windows.benjamini_hochberg(df, "p").orderBy("id").collect()]
     assert [round(q, 6) for q in got] == [0.05, 0.066667, 0.066667, 0.625, 1.0]
