@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words and hashed
+A document is the average of learned vectors of its hashed words, of a repeat
+token beside each word that equals the one before it, and of its hashed
 character 3- and 4-grams (bytes, within words and across spaces); a linear
 layer and a softmax over the two classes follow.  Vectors and layer are
 trained together by minibatch gradient descent (AdaGrad) in numpy, in one task,
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import col, hash_words, slices, text_buffers, word_bounds
 
 BUCKETS = 1 << 16
+#: The bucket of the token that stands beside a word equal to the one before it.
+AGAIN = 0
 DIM = 12
 EPOCHS = 6
 MINIBATCH = 64
@@ -35,11 +38,13 @@ def fold(doc_id: int | None, k: int) -> int:
 
 
 def features(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) arrays: words, then character 3-grams and 4-grams."""
+    """(row, bucket) arrays: words, repeat tokens, then character 3-grams and 4-grams."""
     shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
     starts, ends, first = word_bounds(data, off)
     rows = np.arange(len(off) - 1)
-    out = [(np.repeat(rows, np.diff(first)), (hash_words(data, starts, ends) >> shift).astype(np.int32))]
+    word, word_row = hash_words(data, starts, ends), np.repeat(rows, np.diff(first))
+    again = np.flatnonzero((word[1:] == word[:-1]) & (word_row[1:] == word_row[:-1])) + 1
+    out = [(word_row, (word >> shift).astype(np.int32)), (word_row[again], np.full(len(again), AGAIN, np.int32))]
     byte_row = np.repeat(rows.astype(np.int32), np.diff(off))
     d = data.astype(np.uint32)
     gram = d[:-2] * np.uint32(0x9E3779B1) ^ d[1:-1] * np.uint32(0x85EBCA77) ^ d[2:] * np.uint32(0xC2B2AE3D) if len(d) > 2 else np.zeros(0, np.uint32)
