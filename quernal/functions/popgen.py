@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -34,7 +35,7 @@ def armitage_z(cases: list[Column], controls: list[Column], scores: list[float])
     return F.when(variance > 0, t / F.sqrt(variance))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type, not its name: names need a session to parse
 def two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 
