@@ -114,10 +114,17 @@ def pairs_within(df: DataFrame, keys: list[str], at: str, ident: str, reach: int
 def standardised(values: Column) -> Column:
     """Zero mean, unit population variance; missing entries become 0, constant vectors all 0."""
     x = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
-    n = F.size(x)
-    mean = F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), n)
-    sd = F.sqrt(F.try_divide(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)), n))
-    return F.transform(values, lambda v: F.when(v.isNull() | F.isnan(v) | ~(F.coalesce(sd, F.lit(0.0)) > 0), 0.0).otherwise((v - mean) / sd))
+
+    # Mean and spread reach the inner functions as bound values, so a vector is walked three times in all.
+    def by_mean(mean):
+        return F.aggregate(x, F.lit(0.0), lambda q, v: q + (v - mean) * (v - mean), lambda q: by_sd(mean, F.sqrt(F.try_divide(q, F.size(x)))))
+
+    def by_sd(mean, sd):
+        one = F.array(F.struct(mean.alias("m"), sd.alias("d")))
+        return F.flatten(F.transform(one, lambda c: F.transform(values, lambda v: F.when(v.isNull() | F.isnan(v) | ~(F.coalesce(c["d"], F.lit(0.0)) > 0), 0.0).otherwise((v - c["m"]) / c["d"]))))
+
+    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v, lambda s: F.array(F.try_divide(s, F.size(x))))
+    return F.flatten(F.transform(total, by_mean))
 
 
 def linkage_r2(df: DataFrame, keys: list[str], at: str, ident: str, vector: str, reach: int) -> DataFrame:
