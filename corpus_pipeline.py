@@ -14,6 +14,10 @@ from quernal.llm.common import keep, table
 from quernal.llm.queries import vocabulary
 
 
+#: Near duplicates share 0.8 of their shingles of five words.
+NEAR = ngram_join.Rule(5, 4, 5)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, NEAR)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

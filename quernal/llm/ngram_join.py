@@ -18,7 +18,9 @@ connected already nor decided so are compared in full.
 
 from __future__ import annotations
 
+import math
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,40 @@ from .common import LOWER, col, hash_words, join_hash, keep, mix64, partitions,
 from .exchange import Batches, cut, message_table
 from .graph import components
 
-SHINGLE = 3
+
+class Rule(NamedTuple):
+    """Words a shingle, and the least Jaccard similarity of linked sets as over / under."""
+
+    shingle: int = 3
+    over: int = 9
+    under: int = 10
+
+    def prefix_size(self, n: int) -> int:
+        """Any set that is similar enough shares one of this many rarest shingles."""
+        return n + self.over * n // -self.under + 1 if n else 0
+
+    def block(self, n, shift: float = 0.0):
+        """Size block: neighbouring blocks hold all sizes that may link."""
+        return F.floor(F.log(n.cast("double")) * int(0.9 / math.log(self.under / self.over)) + F.lit(shift)).cast("int")
+
+    def need(self, n, m):
+        """Fewest common shingles of linked sets."""
+        return F.ceil(self.over * (n + m) / F.lit(float(self.over + self.under)) - F.lit(1e-9))
+
+    def may_link(self, n, i, m, j):
+        """Size and position bounds of two postings of one token."""
+        return (self.under * F.least(n, m) >= self.over * F.greatest(n, m)) & (F.least(n - i, m - j) >= self.need(n, m))
+
+    def largest(self, n, i):
+        """No larger partner can pass this position."""
+        return F.floor((self.under * n - (self.over + self.under) * i) / F.lit(float(self.over)) + F.lit(1e-9))
+
+    def near(self, apart: str) -> str:
+        """Whether a symmetric difference is one of linked sets."""
+        return f"{self.over + self.under} * {apart} <= {self.under - self.over} * (nx + ny)"
+
+
+RULE = Rule()
 BLOOM_BITS = 23
 #: Rounds of comparisons with leaders, and how many leaders a set is compared with in each.
 LEADERS = (1, 8)
@@ -38,7 +73,7 @@ HOT_ROWS = 1 << 16
 NO_ID = -(1 << 63)
 
 
-def shingle_sets(column, size: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(column, size: int = RULE.shingle) -> list[np.ndarray]:
     """Each row's distinct shingle fingerprints, ascending."""
     data, off = text_buffers(column)
     starts, ends, first = word_bounds(data, off)
@@ -68,12 +103,12 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _docs(docs: DataFrame) -> DataFrame:
+def _docs(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, and the set's signature of every row."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            sets = shingle_sets(col(batch, "text"))
+            sets = shingle_sets(col(batch, "text"), size)
             sig = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays([col(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in sig], pa.int64()), pa.array([b for _, b in sig], pa.int64())], names=["doc_id", "n", "hi", "lo"])
 
@@ -99,9 +134,9 @@ def answer_rarity(bucket, batches, payloads):
 class BatchSets:
     """A batch's different sets, and the distinct shingles in them."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, size: int = RULE.shingle):
         self.sets: dict[tuple[int, int], np.ndarray] = {}
-        for s in shingle_sets(rows["text"]):
+        for s in shingle_sets(rows["text"], size):
             if len(s):
                 self.sets.setdefault(signature(s), s)
         whole = np.concatenate(list(self.sets.values())) if self.sets else np.zeros(0, np.uint64)
@@ -119,17 +154,12 @@ class BatchSets:
         return out[self.which]
 
 
-def prefix_size(n: int) -> int:
-    """Any set with Jaccard of at least 0.9 shares one of this many rarest shingles."""
-    return n - (9 * n + 9) // 10 + 1 if n else 0
-
-
-def _postings(batches: Batches, replies: DataFrame, hot_rows: int) -> DataFrame:
+def _postings(batches: Batches, replies: DataFrame, hot_rows: int, rule: Rule) -> DataFrame:
     """Prefix postings of all sets, without shingles that no other set has."""
     bits, hot_bits = batches.bits, max(0, hot_rows.bit_length() - 1)
 
     def run(rows: pa.Table, answers) -> pa.Table:
-        batch = BatchSets(rows)
+        batch = BatchSets(rows, rule.shingle)
         rank, at = batch.rarity(bits, answers.get(0, {})), 0
         token, hi, lo, size, pos, piece = [], [], [], [], [], []
         for sig, s in batch.sets.items():
@@ -137,7 +167,7 @@ def _postings(batches: Batches, replies: DataFrame, hot_rows: int) -> DataFrame:
             r = rank[at : at + n].astype(np.uint64)
             at += n
             key = (r << np.uint64(58)) | (s >> np.uint64(6))
-            order = np.argsort(key)[: prefix_size(n)]
+            order = np.argsort(key)[: rule.prefix_size(n)]
             place = np.flatnonzero(r[order] > 1)
             order = order[place]
             token.append(key[order].view(np.int64))
@@ -203,7 +233,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 class SetStore:
     """Sets of the candidate classes, bucketed by node; `compare` gives exact overlaps."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
+    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int):
         spark = docs.sparkSession
         rep = F.coalesce("rep", F.lit(NO_ID))
         bloom = spark.sparkContext.broadcast(_bloom(nodes.select(rep.alias("rep"))))  # 2^BLOOM_BITS bits
@@ -213,7 +243,7 @@ class SetStore:
             for batch in slices(batches, "text"):
                 ids = col(batch, "doc_id").to_numpy()
                 maybe = batch.filter(pa.array(bits[mix64(ids.view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)]))
-                sets = shingle_sets(col(maybe, "text"))
+                sets = shingle_sets(col(maybe, "text"), size)
                 sig = [signature(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([col(maybe, "doc_id"), pa.array([a for a, _ in sig], pa.int64()), pa.array([b for _, b in sig], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "hi", "lo", "shingles"])
 
@@ -240,35 +270,21 @@ class SetStore:
         return keep(both.mapInArrow(run, "x long, nx long, y long, ny long, apart long"), "compared")
 
 
-def _block(n, shift: float = 0.0):
-    """Size block: neighbouring blocks hold all sizes within a tenth."""
-    return F.floor(F.log(n.cast("double")) * 8 + F.lit(shift)).cast("int")
-
-
-def _may_link(n, i, m, j):
-    """Size and position bounds of two postings of one token."""
-    need = F.ceil(9 * (n + m) / F.lit(19.0) - F.lit(1e-9))
-    return (10 * F.least(n, m) >= 9 * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
-
-
-def _share_enough(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+def _share_enough(pairs: DataFrame, prefixes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs that share as many prefix shingles as linked sets must.
 
     Common shingles up to the end of the prefix that ends first lie in both
-    prefixes; beyond it that set has ceil(0.9 n) - 1 shingles left.
+    prefixes; beyond it that set has ceil(n * over / under) - 1 shingles left.
     """
     a = prefixes.select(F.col("node").alias("x"), F.col("tokens").alias("a"))
     b = prefixes.select(F.col("node").alias("y"), F.col("tokens").alias("b"))
     nx, ny = F.col("nx"), F.col("ny")
-    need = F.ceil(9 * (nx + ny) / F.lit(19.0) - F.lit(1e-9)) - F.ceil(9 * F.greatest(nx, ny) / F.lit(10.0) - F.lit(1e-9)) + 1
+    need = rule.need(nx, ny) - F.ceil(rule.over * F.greatest(nx, ny) / F.lit(float(rule.under)) - F.lit(1e-9)) + 1
     both = pairs.join(a, "x").join(b, "y").where(F.size(F.array_intersect("a", "b")) >= need)
     return both.select("x", "nx", "y", "ny")
 
 
-LINKED = "19 * apart <= nx + ny"
-
-
-def join_sets(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_sets(docs: DataFrame, hot_rows: int = HOT_ROWS, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Rows without a word have an empty set and are linked with nothing; null
@@ -279,14 +295,14 @@ def join_sets(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     batches = Batches(docs.select("doc_id", "text"))
     bits = batches.bits
     docs = batches.table
-    rows = keep(_docs(docs), "shingled")
+    rows = keep(_docs(docs, rule.shingle), "shingled")
     classes = rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    replies = batches.settle(batches.ask(lambda t, _: BatchSets(t).messages(t["batch_id"][0].as_py(), bits), None), answer_rarity, 0)
-    lists = keep(_shared_lists(_postings(batches, replies, hot_rows)), "lists")
+    replies = batches.settle(batches.ask(lambda t, _: BatchSets(t, rule.shingle).messages(t["batch_id"][0].as_py(), bits), None), answer_rarity, 0)
+    lists = keep(_shared_lists(_postings(batches, replies, hot_rows, rule)), "lists")
     nodes = keep(lists.select("hi", "lo").distinct().join(classes, ["hi", "lo"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = None
     if not nodes.isEmpty():
-        links = _links(docs, nodes, keep(lists.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("token", "node", "n", "pos"), "postings"))
+        links = _links(docs, nodes, keep(lists.join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("token", "node", "n", "pos"), "postings"), rule)
     best = nodes.select("hi", "lo", "n", "rep").limit(0).withColumn("least", F.col("rep")).drop("rep")
     if links is not None:
         comp = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
@@ -297,9 +313,9 @@ def join_sets(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, postings: DataFrame) -> DataFrame | None:
+def _links(docs: DataFrame, nodes: DataFrame, postings: DataFrame, rule: Rule) -> DataFrame | None:
     """Links that connect all linked classes, as (x, y)."""
-    store = SetStore(docs, nodes)
+    store = SetStore(docs, nodes, rule.shingle)
     compared: DataFrame | None = None
     comp: DataFrame | None = None
 
@@ -310,19 +326,19 @@ def _links(docs: DataFrame, nodes: DataFrame, postings: DataFrame) -> DataFrame
 
     prefixes = keep(postings.groupBy("node").agg(F.collect_list("token").alias("tokens")), "prefixes")  # at most a prefix a row
     for k, most in enumerate(LEADERS):
-        now = labelled().withColumn("block", _block(F.col("n"), k / len(LEADERS)))
+        now = labelled().withColumn("block", rule.block(F.col("n"), k / len(LEADERS)))
         # Rare shingles come first, so a set whose shared ones start early has little of its own:
         # such a central set leads, at first over all of a list, later over a quarter of it.
         out = F.lit(0) if k == 0 else (F.pmod(F.xxhash64("node", "token", F.lit(k)), F.lit(4)) > 0).cast("int")
         first = F.struct(out.alias("out"), (F.col("pos") / F.col("n")).alias("own"), F.xxhash64("node").alias("h"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
         leaders = now.groupBy("token", "block").agg(F.min(first).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "block", "l.*")
-        met = now.join(leaders.hint("merge"), ["token", "block"]).where((F.col("comp") != F.col("cy")) & _may_link(F.col("n"), F.col("pos"), F.col("ny"), F.col("py")))
+        met = now.join(leaders.hint("merge"), ["token", "block"]).where((F.col("comp") != F.col("cy")) & rule.may_link(F.col("n"), F.col("pos"), F.col("ny"), F.col("py")))
         tally = met.groupBy(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny").agg(F.count(F.lit(1)).alias("c"))
         at = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))
         pairs = tally.withColumn("at", at).where(F.col("at") <= most).select("x", "nx", "y", "ny")
-        new = store.compare(_share_enough(pairs, prefixes))
+        new = store.compare(_share_enough(pairs, prefixes, rule))
         compared = new if compared is None else compared.unionByName(new)
-        comp = components(compared.where(LINKED).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        comp = components(compared.where(rule.near("apart")).select(F.col("x").alias("u"), F.col("y").alias("v")))
         if k == 0:
             near = new
     # What is left: pairs of different components whose postings may link, read block by block.
@@ -330,30 +346,30 @@ def _links(docs: DataFrame, nodes: DataFrame, postings: DataFrame) -> DataFrame
     mixed = left.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     left = left.join(mixed.hint("merge"), "token")
     n, i = F.col("n"), F.col("pos")
-    most = F.floor((10 * n - 19 * i) / F.lit(9.0) + F.lit(1e-9))  # no larger partner can pass this position
-    probe = left.where(most >= n).select("token", F.col("node").alias("x"), n.alias("nx"), i.alias("px"), F.col("comp").alias("cx"), F.explode(F.sequence(_block(n), _block(most))).alias("block"))
-    index = left.select("token", F.col("node").alias("y"), n.alias("ny"), i.alias("py"), F.col("comp").alias("cy"), _block(n).alias("block"))
+    most = rule.largest(n, i)
+    probe = left.where(most >= n).select("token", F.col("node").alias("x"), n.alias("nx"), i.alias("px"), F.col("comp").alias("cx"), F.explode(F.sequence(rule.block(n), rule.block(most))).alias("block"))
+    index = left.select("token", F.col("node").alias("y"), n.alias("ny"), i.alias("py"), F.col("comp").alias("cy"), rule.block(n).alias("block"))
     ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    open_pairs = probe.join(index, ["token", "block"]).where(ordered & (F.col("cx") != F.col("cy")) & _may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"))).select("x", "nx", "y", "ny").distinct()
+    open_pairs = probe.join(index, ["token", "block"]).where(ordered & (F.col("cx") != F.col("cy")) & rule.may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"))).select("x", "nx", "y", "ny").distinct()
     known = compared.select("x", "y").unionByName(compared.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    open_pairs = keep(_share_enough(open_pairs, prefixes).join(known, ["x", "y"], "left_anti"), "open")
+    open_pairs = keep(_share_enough(open_pairs, prefixes, rule).join(known, ["x", "y"], "left_anti"), "open")
     near = near.select(F.col("x").alias("node"), F.col("y").alias("via"), "apart")  # one leader a set
     dx = near.select(F.col("node").alias("x"), "via", F.col("apart").alias("ax"))
     dy = near.select(F.col("node").alias("y"), "via", F.col("apart").alias("ay"))
     derived = open_pairs.join(dx, "x").join(dy, ["y", "via"]).groupBy("x", "nx", "y", "ny").agg(F.min(F.col("ax") + F.col("ay")).alias("most"), F.max(F.abs(F.col("ax") - F.col("ay"))).alias("least"))
-    settled = keep(derived.where("19 * most <= nx + ny or 19 * least > nx + ny"), "derived")
+    settled = keep(derived.where(f"{rule.near('most')} or not ({rule.near('least')})"), "derived")
     new = store.compare(open_pairs.join(settled.select("x", "y"), ["x", "y"], "left_anti"))
-    links = compared.unionByName(new).where(LINKED).select("x", "y").unionByName(settled.where("19 * most <= nx + ny").select("x", "y"))
+    links = compared.unionByName(new).where(rule.near("apart")).select("x", "y").unionByName(settled.where(rule.near("most")).select("x", "y"))
     return keep(links.distinct(), "links")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """One row of each component: that of its smallest id, all columns kept.
 
     Rows without a word, and rows whose component has no id, all stay; of rows
     that repeat an id and a text one stays.
     """
-    joined = join_sets(docs)
+    joined = join_sets(docs, rule=rule)
     stay = joined.where("component_id is null or doc_id = component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_stay")).distinct()
     kept = docs.join(stay.hint("merge"), F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_stay"), "left_semi")
     at = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))

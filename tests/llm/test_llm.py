@@ -79,6 +79,35 @@ def test_keep_one_leaves_one_of_each_group(docs):
     assert left.where("doc_id in (118, 119, 120)").count() == 3
 
 
+def test_near_duplicate_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"v{rng.randrange(300)}" for _ in range(rng.randrange(40, 160))]
+        for edits in (0, 1, 2, 3, 5, 8):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10_000)}"
+            texts.append(w)
+        at = rng.randrange(len(base))
+        texts += [base[: len(base) * k // 100] for k in (79, 80, 81, 90)] + [base[:at] + [f"p{rng.randrange(10_000)}" for _ in range(len(base) // 8)] + base[at:]]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    comp = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(sets)):
+            for b in range(a):
+                common = len(sets[a] & sets[b])
+                if comp[a] != comp[b] and 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+                    changed = True
+    frame = make_docs(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]).repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()) == [i for i, c in enumerate(comp) if i == c]
+
+
 def test_substring_against_brute_force(docs, rows):
     first = {}
     order = lambda i: float("inf") if i is None else i
