@@ -273,6 +273,13 @@ def test_licenses(spark):
         assert name in [k for k, _, _ in scanner.scan(text)]
 
 
+def test_every_license_of_a_line_is_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for names in (["GPL-3.0", "MIT"], ["CC-BY-NC-4.0", "proprietary"], ["proprietary", "AGPL-3.0"], list(licenses.TEMPLATES)):
+        found = {k for k, _, _ in scanner.scan(" ".join(licenses.TEMPLATES[k] for k in names))}
+        assert found >= set(names)
+
+
 def test_decontamination_against_brute_force(spark, rows):
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(50)) for _ in range(rng.randrange(4, 40)))) for k in range(12)] + [(90, None), (None, "q w e r t y"), (91, "")]
