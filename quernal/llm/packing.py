@@ -31,16 +31,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 @cache
 def encoder(path: str):
-    """Encoder with the vocabulary of a byte-level BPE file; ranks are its ids."""
+    """Encoder with the vocabulary and added tokens of a byte-level BPE file; ranks are its ids."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     code = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
     ranks = {bytes(code[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class LevelPacker:
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
         out: list = []
         for batch in slices(batches, "text"):
             for doc, text in zip(col(batch, "doc_id").to_pylist(), col(batch, "text").to_pylist(), strict=True):
-                ids = np.array([*enc.encode_ordinary(text or ""), END_ID], dtype="<u4")
+                ids = np.array([*enc.encode(text or "", allowed_special="all"), END_ID], dtype="<u4")
                 n, start = len(ids), 0
                 while n - start >= window:
                     _rows(out, packer.new_id(), [(doc, start, n, ids[start : start + window])])

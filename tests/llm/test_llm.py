@@ -200,6 +200,19 @@ def test_packing_round_trip(docs, rows):
         assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary()
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", "x\n\n<|endoftext|>\n y", "<|ENDOFTEXT|>"]
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    got = packing.pack(make_docs(spark, list(enumerate(texts))).repartition(1), path).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in got} == {(i, len(x)) for i, x in want.items()}
+    for r in got:
+        assert zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+
+
 def test_packer_takes_the_level_with_least_sum_of_squares():
     rng = random.Random(5)
     packer = packing.LevelPacker(16)
