@@ -38,7 +38,7 @@ CLASSES = TOP // CLASS_SIZE + TAIL + 1
 EMBED, HIDDEN = 16, 24
 INPUTS = TOP + TAIL + 1
 FOLDS = 10
-ROUNDS, SHARE = 3, 24
+ROUNDS = 3
 LANES, SPAN = 32, 24
 RATE, CLIP = 0.015, 1.0
 SMOOTH = 0.1
@@ -391,7 +391,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def streams(rows: pa.Table, got) -> pa.Table:
         t, v = Tokens(rows), shared_vocabulary.value
         ids = v.inputs(t.distinct, t.counts(bits, got.get(0, {})) - 1)[t.which]
-        turn = np.array([(remainder(i, FOLDS * SHARE) // FOLDS) % SHARE if f else SHARE for f, i in zip(t.fold, t.ids, strict=True)], dtype=np.int64)
+        turn = np.array([remainder(i, FOLDS * ROUNDS) // FOLDS if f else ROUNDS for f, i in zip(t.fold, t.ids, strict=True)], dtype=np.int64)
         parts = [ids[turn[t.row] == k].astype("<u2") for k in range(ROUNDS)]
         return pa.table([pa.array(range(ROUNDS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["round", "ids"])
 
@@ -404,7 +404,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             for part in parts:
                 for raw in part.column(0):
                     ids = np.frombuffer(raw.as_py(), "<u2")
-                    if len(ids) > 2:
+                    if len(ids):
                         p = train_stream(shared.value, np.concatenate([end, ids]).astype(np.int64))
                         yield pa.RecordBatch.from_arrays([pa.array([float(len(ids))]), pa.array([flatten(p).tobytes()], pa.binary())], names=["weight", "p"])
 

@@ -350,6 +350,18 @@ def test_language_model(docs, rows):
     assert all(np.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_language_model_trains_on_every_training_token(docs, monkeypatch):
+    seen, average = [], language_model._average
+
+    def spy(parts, like):
+        seen.append(sum(r["weight"] for r in parts.select("weight").collect()))
+        return average(parts, like)
+
+    monkeypatch.setattr(language_model, "_average", spy)
+    tokens = language_model.score_texts(docs).first().train_tokens
+    assert sum(seen) == tokens
+
+
 def test_language_model_is_a_distribution_and_carries_state():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64))
