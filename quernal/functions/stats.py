@@ -1,39 +1,54 @@
-"""Exact small-sample statistics as column expressions."""
+"""Exact statistics as column expressions."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def log_factorials(n: int) -> Column:
-    """ln 0! .. ln n! as one array: a bound on the counts, checked by the caller."""
-    out = [0.0]
-    for i in range(1, n + 1):
-        out.append(out[-1] + math.log(i))
-    return F.array(*[F.lit(x) for x in out])
-
-
-def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, largest: int) -> DataFrame:
+def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, largest: int | None = None) -> DataFrame:
     """Two-sided p of a 2x2 table: all tables no likelier than the one seen.  A margin of 0 gives 1.
 
-    `largest` bounds a + b + c + d; larger tables give null.
+    Likelihoods are relative to the mode's, by the ratio of neighbouring tables
+    from the mode outward.  Tables of more than `largest`, if given, give null.
     """
-    a_, b_, c_, d_ = (F.col(x).cast("int") for x in (a, b, c, d))
-    t = df.withColumn("_lf", log_factorials(largest)).withColumn("_r1", a_ + b_).withColumn("_c1", a_ + c_).withColumn("_n", a_ + b_ + c_ + d_)
-    f = lambda x: F.get(F.col("_lf"), x)
-    r1, c1, n = F.col("_r1"), F.col("_c1"), F.col("_n")
-
-    def log_p(x):
-        return f(c1) - f(x) - f(c1 - x) + f(n - c1) - f(r1 - x) - f(n - c1 - r1 + x) - f(n) + f(r1) + f(n - r1)
-
-    lo, hi = F.greatest(F.lit(0), r1 - (n - c1)), F.least(r1, c1)
-    seen = log_p(a_)
-    total = F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda s, x: s + F.when(log_p(x) <= seen + 1e-12, F.exp(log_p(x))).otherwise(0.0))
-    p = F.when((r1 == 0) | (c1 == 0) | (r1 == n) | (c1 == n), 1.0).when(n <= largest, F.least(F.lit(1.0), total))
-    return t.withColumn("p", p).drop("_lf", "_r1", "_c1", "_n")
+    a_, b_, c_, d_ = (F.col(x).cast("long") for x in (a, b, c, d))
+    t = df.withColumn("_a", a_).withColumn("_r1", a_ + b_).withColumn("_c1", a_ + c_).withColumn("_n", a_ + b_ + c_ + d_)
+    seen, r1, c1, n = F.col("_a"), F.col("_r1"), F.col("_c1"), F.col("_n")
+    t = t.withColumn("_lo", F.greatest(F.lit(0), r1 + c1 - n)).withColumn("_hi", F.least(r1, c1))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    # (r1 + 1) (c1 + 1) may pass 2^63; a mode that is off by rounding only changes what likelihoods are relative to.
+    mode = F.floor((r1 + 1).cast("double") * (c1 + 1) / (n + 2)).cast("long")
+    t = t.withColumn("_mode", F.greatest(lo, F.least(hi, mode)))
+    mode = F.col("_mode")
+
+    def up(x):
+        """Likelihood of x against x - 1."""
+        return (r1 - x + 1).cast("double") * (c1 - x + 1) / (x.cast("double") * (n - r1 - c1 + x))
+
+    def down(x):
+        """Likelihood of x against x + 1."""
+        return 1 / up(x + 1)
+
+    def walk(first, last, step: int, ratio, start, merge):
+        some = F.when(first <= last if step > 0 else first >= last, F.sequence(first, last, F.lit(step).cast("long")))
+        return F.aggregate(F.coalesce(some, F.array().cast("array<long>")), start, lambda s, x: merge(s, ratio(x)))
+
+    one = lambda s, r: s * r
+    t = t.withColumn("_seen", walk(mode + 1, seen, 1, up, F.lit(1.0), one) * walk(mode - 1, seen, -1, down, F.lit(1.0), one))
+    most = F.col("_seen") * (1 + 1e-12 + 1e-15 * (hi - lo))  # ties, within the rounding of so many products
+
+    def sums(s, r):
+        w = s["w"] * r
+        return F.struct(w.alias("w"), (s["total"] + w).alias("total"), (s["tail"] + F.when(w <= most, w).otherwise(0.0)).alias("tail"))
+
+    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("total"), F.lit(0.0).alias("tail"))
+    t = t.withColumn("_up", walk(mode + 1, hi, 1, up, zero, sums)).withColumn("_down", walk(mode - 1, lo, -1, down, zero, sums))
+    tail = F.col("_up.tail") + F.col("_down.tail") + F.when(most >= 1, 1.0).otherwise(0.0)
+    p = F.when((r1 == 0) | (c1 == 0) | (r1 == n) | (c1 == n), 1.0).otherwise(F.least(F.lit(1.0), tail / (F.col("_up.total") + F.col("_down.total") + 1)))
+    if largest is not None:
+        p = F.when(n <= largest, p)
+    return t.withColumn("p", p).drop("_a", "_r1", "_c1", "_n", "_lo", "_hi", "_mode", "_seen", "_up", "_down")
 
 
 def odds_ratio(a: str, b: str, c: str, d: str, haldane: bool = False) -> Column:

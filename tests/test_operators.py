@@ -66,6 +66,16 @@ def test_fisher_against_enumeration(spark):
     assert all(abs(r.p - exact(r.a, r.b, r.c, r.d)) < 1e-9 for r in got)
 
 
+def test_fisher_of_large_tables(spark):
+    tables = [(5000, 5000, 5000, 5000), (9000, 9300, 9500, 9100), (300, 40_000, 200, 60_000), (0, 30_000, 12, 20_000)]
+    rows = [(*t, k) for k, t in enumerate(tables)]
+    got = {r.k: r.p for r in stats.fisher_exact(spark.createDataFrame(rows, "a long, b long, c long, d long, k long"), "a", "b", "c", "d").collect()}
+    for k, (a, b, c, d) in enumerate(tables):
+        r1, c1, n = a + b, a + c, a + b + c + d
+        log = {x: sum(map(math.lgamma, (r1 + 1, n - r1 + 1, c1 + 1, n - c1 + 1))) - sum(map(math.lgamma, (n + 1, x + 1, r1 - x + 1, c1 - x + 1, n - r1 - c1 + x + 1))) for x in range(max(0, r1 + c1 - n), min(r1, c1) + 1)}
+        assert math.isclose(got[k], min(1.0, sum(math.exp(v) for v in log.values() if v <= log[a] + 1e-7)), rel_tol=1e-6)
+
+
 def test_components_of_chains_rings_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (300, 299)]
     got = dict(graph.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
