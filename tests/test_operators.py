@@ -89,6 +89,29 @@ def test_pruning_leaves_no_edge(spark):
     assert all(a in gone or b in gone for a, b in edges)
 
 
+def test_degree_pruning_takes_every_edge(spark, tmp_path):
+    from quernal.plans import kernel_queries
+
+    rng = random.Random(2)
+    lines = [(p, rng.randrange(12), float(rng.choice((10, 49, 50)))) for p in range(60) for _ in range(4)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    by_part: dict = {}
+    for p, s, q in lines:
+        if q >= 49:
+            by_part.setdefault(p, set()).add(s)
+    near: dict = {}
+    for a, b in (s for s in by_part.values() if len(s) == 2):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    while any(near.values()):
+        worst = min(near, key=lambda n: (-len(near[n]), n))
+        want.add(worst)
+        for other in near.pop(worst):
+            near[other].discard(worst)
+    assert {r.node for r in kernel_queries.degree_pruning(spark, str(tmp_path)).collect()} == want
+
+
 def test_kernels(spark):
     rows = [("g", i, [float(i), 2.0 * i + (i % 3) * 0.01], float(i // 10 * 100 + i % 10)) for i in range(30)]
     df = spark.createDataFrame(rows, "key string, id long, v array<double>, x double")
