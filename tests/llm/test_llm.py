@@ -293,6 +293,21 @@ def test_every_license_of_a_line_is_found():
         assert found >= set(names)
 
 
+def test_licenses_over_lines_and_with_other_words(spark):
+    texts = {
+        1: "x\nLicensed under the Apache License,\nVersion 2.0.\ny",
+        2: "# This library is licensed under the\n#   GNU Lesser General Public\n#   License, version 2.1.",
+        3: "Released under the terms of the MIT License.",
+        4: "This work is published under the GNU General Public License, version 2.",
+        5: "Released under the MIX License.\nReleased under the X License.",
+        6: "All rights reserved.\nAll rights are reserved.\nAll rights reserved.",
+        7: "Licensed under CC BY-NC-SA 4.0.\nLicensed under the GNU General Public License, version 9.",
+        8: "Released under the MIT License.\nReleased under the ISC License.",
+    }
+    got = {(r.doc_id, r.line, r.license, r.differences) for r in licenses.scan_licenses(make_docs(spark, list(texts.items()))).collect()}
+    assert got == {(1, 1, "Apache-2.0", 0), (2, 0, "LGPL-2.1", 0), (3, 0, "MIT", 3), (4, 0, "GPL-2.0", 1), (6, 0, "proprietary", 0), (6, 2, "proprietary", 0), (8, 0, "MIT", 0), (8, 1, "ISC", 0)}
+
+
 def test_decontamination_against_brute_force(spark, rows):
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(50)) for _ in range(rng.randrange(4, 40)))) for k in range(12)] + [(90, None), (None, "q w e r t y"), (91, "")]
