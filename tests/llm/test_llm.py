@@ -308,6 +308,13 @@ def test_licenses_over_lines_and_with_other_words(spark):
     assert got == {(1, 1, "Apache-2.0", 0), (2, 0, "LGPL-2.1", 0), (3, 0, "MIT", 3), (4, 0, "GPL-2.0", 1), (6, 0, "proprietary", 0), (6, 2, "proprietary", 0), (8, 0, "MIT", 0), (8, 1, "ISC", 0)}
 
 
+def test_license_at_any_place_of_a_long_line():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for gap in [*range(1990, 2080), 2500, 4090]:
+        line = "z " * 1500 + "license " + "y" * gap + " All rights reserved. " + "x " * 2000
+        assert [(n, k) for n, k, *_ in scanner.notices(line)] == [(0, "proprietary")]
+
+
 def test_decontamination_against_brute_force(spark, rows):
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(50)) for _ in range(rng.randrange(4, 40)))) for k in range(12)] + [(90, None), (None, "q w e r t y"), (91, "")]
