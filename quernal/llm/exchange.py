@@ -10,6 +10,11 @@ need not be shuffled again, being bucketed.
 
 A batch names each fingerprint once, so however many rows share one, a bucket
 gets at most one entry a batch: no key is hot.
+
+Messages and replies are records of a fixed size, laid end to end.  They are cut
+into rows, and put together again, by offsets into one buffer, so neither side
+makes a Python object a message: where an input is so large that a message holds
+a key or two, the exchange costs what a plain shuffle by key would.
 """
 
 from __future__ import annotations
@@ -21,14 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, col, keep, partitions, shared_dir, slices, text_buffers
+from .common import BATCH_BYTES, col, partitions, shared_dir, slices, text_buffers
 
 MESSAGE = "bucket int, batch_id long, payload binary"
-REPLY = "batch_id long, bucket int, payload binary"
+REPLY = "batch_id long, bucket int, payload binary, extra boolean"
+#: Input bytes a bucket answers for: at least 1 MB, growing with the root of the input.
 BYTES_PER_BUCKET = 1 << 20
+ROOT_BYTES = 8
 MAX_BUCKET_BITS = 24
 
 
+def bucket_bits(total: int) -> int:
+    per = max(BYTES_PER_BUCKET, ROOT_BYTES * int(total**0.5))
+    return min(MAX_BUCKET_BITS, max(3, (total // per).bit_length()))
+
+
 class Batches:
     """The written batch table, and how many hash buckets its size asks for."""
 
@@ -55,43 +67,72 @@ class Batches:
         batched.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark, name)).bucketBy(self.parts, "batch_id").sortBy("batch_id").saveAsTable(name)
         self.table = spark.table(name)
         self.bytes = seen.get["bytes"] or 0
-        self.bits = min(MAX_BUCKET_BITS, max(3, (self.bytes // BYTES_PER_BUCKET).bit_length()))
+        self.bits = bucket_bits(self.bytes)
 
     def ask(self, make, replies: DataFrame | None, schema: str = MESSAGE) -> DataFrame:
-        """`make(rows, answers)` for every batch; answers maps kind to bucket to payload."""
+        """`make(rows, answers)` for every batch; answers maps kind to the replies' bytes in the order of the keys."""
 
         def alone(table: pa.Table) -> pa.Table:
             return make(table, {})
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
-            answers: dict[int, dict[int, bytes]] = {}
-            for k, b, p in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["payload"].to_pylist(), strict=True):
-                answers.setdefault(k, {})[b] = p
-            return make(left, answers)
+            right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+            kinds = right["kind"].to_numpy()
+            data, off = text_buffers(right["payload"])
+            bounds = {int(k): np.searchsorted(kinds, [k, k + 1]) for k in np.unique(kinds)}
+            return make(left, {k: data[off[a] : off[b]] for k, (a, b) in bounds.items()})
 
         rows = self.table.groupBy("batch_id")
         if replies is None:
             return rows.applyInArrow(alone, schema)
-        return rows.cogroup(replies.groupBy("batch_id")).applyInArrow(both, schema)
+        return rows.cogroup(replies.select("batch_id", "bucket", "payload", "kind").groupBy("batch_id")).applyInArrow(both, schema)
+
+    def settle(self, messages: DataFrame, answer, size: int, kind: int) -> DataFrame:
+        """Replies to all messages, whose records have `size` bytes; written, rows marked extra apart.
 
-    def settle(self, messages: DataFrame, answer, kind: int) -> DataFrame:
-        """`answer(bucket, batch_ids, payloads)` gives (batch_id, payload) replies; written."""
+        `answer(records, sender)` gets a bucket's records (n x size bytes) and
+        each one's sender, and gives a reply record each, and bytes that go to
+        no batch (or None), which come back as a row of their own.
+        """
 
         def run(table: pa.Table) -> pa.Table:
             bucket = table["bucket"][0].as_py()
-            out = answer(bucket, table["batch_id"].to_pylist(), table["payload"].to_pylist())
-            return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["batch_id", "bucket", "payload"])
+            data, off = text_buffers(table["payload"])
+            off = off // size
+            batch = table["batch_id"].to_numpy()
+            reply, extra = answer(data.reshape(-1, size), np.repeat(np.arange(len(batch)), np.diff(off)))
+            reply = np.ascontiguousarray(reply).reshape(off[-1], -1)
+            rows = pa.table([pa.array(batch), pa.array(np.full(len(batch), bucket, np.int32)), _cut_buffer(reply, off), pa.array(np.zeros(len(batch), bool))], names=["batch_id", "bucket", "payload", "extra"])
+            if extra is None:
+                return rows
+            return pa.concat_tables([rows, pa.table([pa.array([-1], pa.int64()), pa.array([bucket], pa.int32()), pa.array([extra], pa.binary()), pa.array([True])], names=rows.column_names)])
+
+        replies = messages.groupBy("bucket").applyInArrow(run, REPLY).withColumn("kind", F.lit(kind))
+        path = shared_dir(self.spark, "replies")
+        replies.write.partitionBy("extra").parquet(path)
+        return self.spark.read.schema(replies.schema).parquet(path)
+
+
+def _cut_buffer(records: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary array whose k-th value is records bounds[k] to bounds[k + 1]."""
+    raw = np.ascontiguousarray(records).view(np.uint8).reshape(len(records), -1)
+    width = raw.shape[1] if len(raw) else 0
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((np.asarray(bounds) * width).astype(np.int32)), pa.py_buffer(raw.ravel())])
+
 
-        replies = messages.groupBy("bucket").applyInArrow(run, REPLY)
-        return keep(replies.withColumn("kind", F.lit(kind)), "replies")
+def messages_of(keys: np.ndarray, batch: int, bits: int, records: np.ndarray) -> pa.Table:
+    """One message a bucket: the records of its keys, which are 64-bit and ascending."""
+    of = (keys >> np.uint64(64 - bits)).astype(np.int32)
+    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    bounds = np.append(begin, len(of))
+    return pa.table([pa.array(of[begin]), pa.array(np.full(len(begin), batch)), _cut_buffer(records, bounds)], names=["bucket", "batch_id", "payload"])
 
 
-def cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets present in ascending 64-bit keys, and the bounds of each one's slice."""
-    of = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    present, start = np.unique(of, return_index=True)
-    return present, np.append(start, len(keys))
+def records_of(*columns: np.ndarray) -> np.ndarray:
+    """Columns of numbers side by side as fixed-size records of bytes."""
+    return np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1) for c in columns], 1)
 
 
-def message_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "batch_id", "payload"])
+def column_of(records: np.ndarray, at: int, kind: str) -> np.ndarray:
+    """The numbers of `kind` at byte `at` of every record."""
+    return np.ascontiguousarray(records[:, at : at + np.dtype(kind).itemsize]).view(kind).ravel()

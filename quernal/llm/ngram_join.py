@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, col, hash_words, join_hash, keep, mix64, partitions, shared_dir, slices, text_buffers, word_bounds
-from .exchange import Batches, cut, message_table
+from .exchange import Batches, column_of, messages_of, records_of
 from .graph import components
 
 
@@ -52,8 +52,8 @@ class Rule(NamedTuple):
         return F.ceil(self.over * (n + m) / F.lit(float(self.over + self.under)) - F.lit(1e-9))
 
     def may_link(self, n, i, m, j):
-        """Size and position bounds of two postings of one token."""
-        return (self.under * F.least(n, m) >= self.over * F.greatest(n, m)) & (F.least(n - i, m - j) >= self.need(n, m))
+        """Size and position bounds of two postings of one token; the sets differ, so not all shingles are common."""
+        return (self.under * F.least(n, m) >= self.over * F.greatest(n, m)) & (F.least(n - i, m - j) >= self.need(n, m)) & (self.need(n, m) <= F.greatest(n, m) - 1)
 
     def largest(self, n, i):
         """No larger partner can pass this position."""
@@ -71,6 +71,8 @@ LEADERS = (1, 8)
 #: A shingle in more sets than this has its list split.
 HOT_ROWS = 1 << 16
 NO_ID = -(1 << 63)
+#: Fingerprints of the pairs that are compared at once.
+PAIR_SHINGLES = 1 << 20
 
 
 def shingle_sets(column, size: int = RULE.shingle) -> list[np.ndarray]:
@@ -115,20 +117,15 @@ def _docs(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long")
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """A bucket's keys without the bits that name the bucket, and their counts up to 255."""
-    low = (keys >> np.uint64(32 - bits)).astype("<u4")
-    return low.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+def _records(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Keys without the bits that name the bucket, and their counts up to 255: five bytes each."""
+    return records_of((keys >> np.uint64(32 - bits)).astype("<u4"), np.minimum(counts, 255).astype(np.uint8))
 
 
-def answer_rarity(bucket, batches, payloads):
+def answer_rarity(records, sender):
     """For each key the bit length of the number of sets that have it."""
-    size = [len(p) // 5 for p in payloads]
-    keys = np.concatenate([np.frombuffer(p, "<u4", n) for p, n in zip(payloads, size, strict=True)])
-    counts = np.concatenate([np.frombuffer(p, np.uint8, n, 4 * n) for p, n in zip(payloads, size, strict=True)])
-    u, inverse = np.unique(keys, return_inverse=True)
-    rank = np.frexp(np.bincount(inverse, counts, len(u)))[1].astype(np.uint8)[inverse]
-    return [(b, x.tobytes()) for b, x in zip(batches, np.split(rank, np.cumsum(size)[:-1]), strict=True)]
+    u, inverse = np.unique(column_of(records, 0, "<u4"), return_inverse=True)
+    return np.frexp(np.bincount(inverse, records[:, 4], len(u)))[1].astype(np.uint8)[inverse], None
 
 
 class BatchSets:
@@ -143,24 +140,19 @@ class BatchSets:
         self.keys, self.which, self.counts = np.unique(whole, return_inverse=True, return_counts=True)
 
     def messages(self, batch: int, bits: int) -> pa.Table:
-        present, at = cut(self.keys, bits)
-        return message_table([(int(b), batch, _pack(self.keys[at[k] : at[k + 1]], self.counts[at[k] : at[k + 1]], bits)) for k, b in enumerate(present)])
+        return messages_of(self.keys, batch, bits, _records(self.keys, self.counts, bits))
 
-    def rarity(self, bits: int, answers: dict[int, bytes]) -> np.ndarray:
-        present, at = cut(self.keys, bits)
-        out = np.zeros(len(self.keys), np.uint8)
-        for k, b in enumerate(present):
-            out[at[k] : at[k + 1]] = np.frombuffer(answers[int(b)], np.uint8)
-        return out[self.which]
+    def rarity(self, answers: dict[int, np.ndarray]) -> np.ndarray:
+        return answers[0][self.which] if len(self.keys) else np.zeros(0, np.uint8)
 
 
 def _postings(batches: Batches, replies: DataFrame, hot_rows: int, rule: Rule) -> DataFrame:
     """Prefix postings of all sets, without shingles that no other set has."""
-    bits, hot_bits = batches.bits, max(0, hot_rows.bit_length() - 1)
+    hot_bits = max(0, hot_rows.bit_length() - 1)
 
     def run(rows: pa.Table, answers) -> pa.Table:
         batch = BatchSets(rows, rule.shingle)
-        rank, at = batch.rarity(bits, answers.get(0, {})), 0
+        rank, at = batch.rarity(answers), 0
         token, hi, lo, size, pos, piece = [], [], [], [], [], []
         for sig, s in batch.sets.items():
             n = len(s)
@@ -259,14 +251,19 @@ class SetStore:
 
         def run(batches):
             for batch in batches:
-                for cut in slices([batch], "pad", 1 << 20):
-                    common = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(col(cut, "a").to_pylist(), col(cut, "b").to_pylist(), strict=True)]
-                    nx, ny = col(cut, "nx").to_numpy(), col(cut, "ny").to_numpy()
-                    yield pa.RecordBatch.from_arrays([col(cut, c) for c in ("x", "nx", "y", "ny")] + [pa.array(nx + ny - 2 * np.array(common, np.int64))], names=["x", "nx", "y", "ny", "apart"])
+                nx, ny = col(batch, "nx").to_numpy(), col(batch, "ny").to_numpy()
+                whole = np.append(0, np.cumsum(nx + ny))  # a set is as many fingerprints as its size
+                i, n = 0, batch.num_rows
+                while i < n:
+                    j = max(int(np.searchsorted(whole, whole[i] + PAIR_SHINGLES, "right")) - 1, i + 1)
+                    part = batch.slice(i, j - i)
+                    common = [len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True)) for a, b in zip(col(part, "a"), col(part, "b"), strict=True)]
+                    yield pa.RecordBatch.from_arrays([col(part, c) for c in ("x", "nx", "y", "ny")] + [pa.array(nx[i:j] + ny[i:j] - 2 * np.array(common, np.int64))], names=["x", "nx", "y", "ny", "apart"])
+                    i = j
 
         left = self.table.select(F.col("node").alias("x"), F.col("shingles").alias("a"))
         right = self.table.select(F.col("node").alias("y"), F.col("shingles").alias("b"))
-        both = pairs.join(left, "x").join(right, "y").select("x", "nx", "y", "ny", "a", "b", F.lit("").alias("pad"))
+        both = pairs.join(left, "x").join(right, "y").select("x", "nx", "y", "ny", "a", "b")
         return keep(both.mapInArrow(run, "x long, nx long, y long, ny long, apart long"), "compared")
 
 
@@ -297,7 +294,7 @@ def join_sets(docs: DataFrame, hot_rows: int = HOT_ROWS, rule: Rule = RULE) -> D
     docs = batches.table
     rows = keep(_docs(docs, rule.shingle), "shingled")
     classes = rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    replies = batches.settle(batches.ask(lambda t, _: BatchSets(t, rule.shingle).messages(t["batch_id"][0].as_py(), bits), None), answer_rarity, 0)
+    replies = batches.settle(batches.ask(lambda t, _: BatchSets(t, rule.shingle).messages(t["batch_id"][0].as_py(), bits), None), answer_rarity, 5, 0)
     lists = keep(_shared_lists(_postings(batches, replies, hot_rows, rule)), "lists")
     nodes = keep(lists.select("hi", "lo").distinct().join(classes, ["hi", "lo"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = None
@@ -370,7 +367,10 @@ def keep_one(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     that repeat an id and a text one stays.
     """
     joined = join_sets(docs, rule=rule)
-    stay = joined.where("component_id is null or doc_id = component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_stay")).distinct()
-    kept = docs.join(stay.hint("merge"), F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_stay"), "left_semi")
-    at = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
-    return kept.withColumn("_at", at).where("_at = 1 or doc_id is null").select(*docs.columns)
+    stay = joined.where("component_id is null or doc_id = component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
+    # All columns go into one struct, so that none can clash with a name used here.
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(stay.hint("merge"), "doc_id", "left_semi")
+    at = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))
+    kept = kept.withColumn("at", at).where(f"at = 1 or doc_id = {NO_ID}")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

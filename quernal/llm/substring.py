@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, hash_words, join_hash, text_buffers, word_bounds
-from .exchange import Batches, cut, message_table
+from .exchange import Batches, column_of, messages_of, records_of
 
 WINDOW = 13
 NO_ID = np.iinfo(np.int64).max
@@ -84,13 +84,9 @@ class Corpus:
         several = row[begin] != row[last] if len(value) else np.zeros(0, bool)
         return sorted_value[begin], which, several
 
-    def narrow(self, size: int, bits: int, answers: dict[int, bytes]) -> None:
-        keys, which, several = self.level(size)
-        present, bounds = cut(keys, bits)
-        for k, b in enumerate(present):
-            n = bounds[k + 1] - bounds[k]
-            several[bounds[k] : bounds[k + 1]] |= np.unpackbits(np.frombuffer(answers[int(b)], np.uint8), count=n).astype(bool)
-        self.alive = self.alive[several[which]]
+    def narrow(self, size: int, answer: np.ndarray) -> None:
+        _, which, several = self.level(size)
+        self.alive = self.alive[(several | answer.astype(bool))[which]]
 
     def full(self):
         """Distinct 128-bit keys in order, each candidate's key, and each key's smallest id here."""
@@ -107,16 +103,15 @@ class Corpus:
         least = np.minimum.reduceat(ids, begin) if len(begin) else ids
         return high[begin], low[begin], which, least
 
-    def replay(self, sizes: list[int], bits: int, answers) -> None:
+    def replay(self, sizes: list[int], answers: dict[int, np.ndarray]) -> None:
+        none = np.zeros(0, np.uint8)  # a batch without candidates has asked nothing
         for k, size in enumerate(sizes):
-            self.narrow(size, bits, answers.get(k, {}))
+            self.narrow(size, answers.get(k, none))
 
-    def removed(self, bits: int, answers: dict[int, bytes]) -> np.ndarray:
+    def removed(self, answer: np.ndarray) -> np.ndarray:
         """For each word, whether a window with a smaller document covers it."""
-        high, _, which, least = self.full()
-        present, bounds = cut(high, bits)
-        for k, b in enumerate(present):
-            least[bounds[k] : bounds[k + 1]] = np.frombuffer(answers[int(b)], np.int64)
+        _, _, which, _ = self.full()
+        least = np.ascontiguousarray(answer).view("<i8")
         hit = self.alive[least[which] < self.id[self.row[self.alive]]]
         marks = np.zeros(len(self.words) + 1, np.int32)
         np.add.at(marks, hit, 1)
@@ -124,58 +119,50 @@ class Corpus:
         return np.cumsum(marks[:-1]) > 0
 
 
-def _pack48(keys: np.ndarray) -> bytes:
-    return (keys >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+KEY48, KEY128 = 6, 24
 
 
-def _unpack48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _top48(keys: np.ndarray) -> np.ndarray:
+    """The upper six bytes of each key."""
+    return np.ascontiguousarray((keys >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY48])
 
 
-def answer_repeated(bucket, batches, payloads):
-    """Bitmaps of the keys that more than one batch has sent."""
-    keys = [_unpack48(p) for p in payloads]
-    sizes = [len(k) for k in keys]
-    sender = np.repeat(np.arange(len(keys)), sizes)
-    joined = np.concatenate(keys)
-    order = np.argsort(joined, kind="stable")
-    k = joined[order]
+def answer_repeated(records, sender):
+    """Whether more than one batch has sent a key, a byte each."""
+    wide = np.zeros((len(records), 8), np.uint8)
+    wide[:, :KEY48] = records
+    key = wide.view("<u8").ravel()
+    order = np.argsort(key, kind="stable")
+    k = key[order]
     begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     last = np.append(begin[1:], len(k)) - 1
     several = sender[order][begin] != sender[order][last]
-    flags = np.empty(len(k), bool)
+    flags = np.empty(len(k), np.uint8)
     flags[order] = np.repeat(several, last - begin + 1)
-    return [(b, np.packbits(f).tobytes()) for b, f in zip(batches, np.split(flags, np.cumsum(sizes)[:-1]), strict=True)]
+    return flags, None
 
 
-def answer_least(bucket, batches, payloads):
+def answer_least(records, sender):
     """The smallest document id of each 128-bit key over all batches."""
-    parts = [np.frombuffer(p, "<u8").reshape(3, -1) for p in payloads]
-    sizes = [p.shape[1] for p in parts]
-    high, low, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    ids = ids.view(np.int64)
+    high, low, ids = column_of(records, 0, "<u8"), column_of(records, 8, "<u8"), column_of(records, 16, "<i8")
     order = np.lexsort((low, high))
     h, w = high[order], low[order]
     begin = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
     least = np.minimum.reduceat(ids[order], begin)
     out = np.empty(len(h), np.int64)
     out[order] = np.repeat(least, np.diff(np.append(begin, len(h))))
-    return [(b, o.tobytes()) for b, o in zip(batches, np.split(out, np.cumsum(sizes)[:-1]), strict=True)]
+    return out, None
 
 
 def _messages(rows: pa.Table, answers, window: int, sizes: list[int], bits: int) -> pa.Table:
     c = Corpus(rows, window)
     batch = rows["batch_id"][0].as_py()
-    c.replay(sizes[:-1], bits, answers)
+    c.replay(sizes[:-1], answers)
     if sizes[-1] < window:
         keys, _, _ = c.level(sizes[-1])
-        present, bounds = cut(keys, bits)
-        return message_table([(int(b), batch, _pack48(keys[bounds[k] : bounds[k + 1]])) for k, b in enumerate(present)])
+        return messages_of(keys, batch, bits, _top48(keys))
     high, low, _, least = c.full()
-    present, bounds = cut(high, bits)
-    return message_table([(int(b), batch, np.stack([x[bounds[k] : bounds[k + 1]].view(np.uint64) for x in (high, low, least)]).astype("<u8").tobytes()) for k, b in enumerate(present)])
+    return messages_of(high, batch, bits, records_of(high.astype("<u8"), low.astype("<u8"), least.astype("<i8")))
 
 
 def _find(docs: DataFrame, window: int):
@@ -187,7 +174,7 @@ def _find(docs: DataFrame, window: int):
     for k, size in enumerate(sizes):
         part = sizes[: k + 1]
         messages = batches.ask(lambda rows, answers, part=part: _messages(rows, answers, window, part, bits), replies)
-        new = batches.settle(messages, answer_least if size == window else answer_repeated, k)
+        new = batches.settle(messages, *((answer_least, KEY128) if size == window else (answer_repeated, KEY48)), k)
         if new.isEmpty():
             done = False
             break
@@ -197,8 +184,8 @@ def _find(docs: DataFrame, window: int):
         c = Corpus(rows, window)
         if not done:
             return c, np.zeros(len(c.words), bool)
-        c.replay(sizes[:-1], bits, answers)
-        return c, c.removed(bits, answers.get(len(sizes) - 1, {}))
+        c.replay(sizes[:-1], answers)
+        return c, c.removed(answers.get(len(sizes) - 1, np.zeros(0, np.uint8)))
 
     return batches, replies, removed
 
