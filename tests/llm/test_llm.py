@@ -405,6 +405,100 @@ def test_language_model_is_a_distribution_and_carries_state():
     assert np.allclose(a, b, rtol=1e-4)
 
 
+def plain_model(p, rows):
+    """Summed log probability of each row, token by token in double precision."""
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    n, out = language_model.HIDDEN, []
+    for row in rows:
+        h, total = np.zeros(n), 0.0
+        for k, token in enumerate([row[-1], *row]):
+            if k:
+                s = np.append(h, 1.0)
+                logits, c = s @ p["oc"], token // language_model.CLASS_SIZE
+                total += logits[c] - np.log(np.exp(logits).sum())
+                if token < language_model.UNKNOWN:
+                    logits = s @ p["ow"][c]
+                    total += logits[token % language_model.CLASS_SIZE] - np.log(np.exp(logits).sum())
+            x, u = p["embed"][token] @ p["wx"] + p["b"], h @ p["wh"]
+            z, r = 1 / (1 + np.exp(-(x[:n] + u[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + u[n : 2 * n])))
+            c = np.tanh(x[2 * n :] + r * u[2 * n :])
+            h = z * h + (1 - z) * c
+        out.append(total)
+    return np.array(out)
+
+
+def some_model(rng):
+    keys = np.arange(1, 6000, dtype=np.uint64) << np.uint64(50)
+    v = language_model.Vocabulary(language_model._stats(keys, rng.integers(1, 50, len(keys)), 20))
+    p = language_model.initial(v)
+    p["oc"][:-1] *= 30
+    p["ow"][:, :-1] *= 30
+    return p
+
+
+def test_language_model_scores_as_a_plain_one():
+    rng = np.random.default_rng(4)
+    p = some_model(rng)
+    sizes = np.append([900, 1, 700], rng.integers(1, 30, 40))
+    first = np.append(0, np.cumsum(sizes))
+    ids = rng.integers(0, language_model.INPUTS, first[-1]).astype("<u2")
+    ids[first[1:] - 1] = 3
+    rows = [ids[a:b].astype(int) for a, b in zip(first[:-1], first[1:])]
+    assert np.allclose(language_model.score_rows(p, first, ids), plain_model(p, rows), rtol=1e-5)
+
+
+def test_backpropagation_against_differences():
+    rng = np.random.default_rng(0)
+    p = some_model(rng)
+    time, lanes = 6, 5
+    src, dst = rng.integers(0, language_model.INPUTS, (2, time, lanes))
+    dst[0, 0] = language_model.UNKNOWN
+    got = {}
+
+    class Watched(language_model.Trainer):
+        def update(self, g, rows, d_rows):
+            got.update(g)
+            got["embed"] = np.zeros_like(self.p["embed"])
+            got["embed"][rows] = d_rows
+
+    Watched(p).window(src, dst, np.zeros((lanes, language_model.HIDDEN), np.float32))
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+
+    def loss():
+        h, total = np.zeros((lanes, language_model.HIDDEN)), 0.0
+        gathered, w = language_model.thirds(p["embed"] @ p["wx"] + p["b"]), language_model.thirds(p["wh"])
+        for t in range(time):
+            h = language_model.cell([g[src[t]] for g in gathered], w, h)[-1]
+            total -= language_model.log_probability(p, h, dst[t]).sum()
+        return total / dst.size
+
+    for k in p:
+        for i in np.argsort(-np.abs(got[k].ravel()))[:3]:
+            held = p[k].flat[i]
+            p[k].flat[i] = held + 1e-4
+            up = loss()
+            p[k].flat[i] = held - 1e-4
+            assert np.isclose((up - loss()) / 2e-4, got[k].flat[i], rtol=2e-3), k
+            p[k].flat[i] = held
+
+
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    rng = random.Random(11)
+    heads, follow = [f"w{i}" for i in range(60)], {}
+    for w in heads:
+        follow[w] = [rng.choice(heads) for _ in range(3)]
+
+    def text():
+        w = [rng.choice(heads)]
+        while len(w) < 150:
+            w.append(rng.choice(follow[w[-1]]))
+        return " ".join(w)
+
+    got = [r for r in language_model.score_texts(make_docs(spark, [(i, text()) for i in range(700)])).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in got)
+    assert len(got) > 30 and sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.1
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(1)
     stream = np.tile(rng.integers(0, 50, 20), 400)
