@@ -152,14 +152,34 @@ def bit(df: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    Where no folder is configured (single-machine tests) one is set for the
-    session, so that every later caller agrees on it.
+    Where no folder is configured a local session (as in tests) gets one, so that
+    every later caller agrees on it; a cluster, whose machines would each use a
+    folder of their own, gets an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    MADE.append(path)
+    return path
+
+
+#: Folders and (as table:name) tables that this process has made and not yet removed.
+MADE: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove all intermediate folders and tables; call it once the results that read them are written."""
+    while MADE:
+        name = MADE.pop()
+        if name.startswith("table:"):
+            spark.sql(f"DROP TABLE IF EXISTS {name.removeprefix('table:')}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

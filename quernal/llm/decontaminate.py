@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import LOWER, col, hash_words, join_hash, mix64, slices, text_buffers, word_bounds
 
@@ -172,27 +173,35 @@ def search(index: ItemIndex, column) -> list[tuple[int, int, float, int, int]]:
     return [(r, item, s, int(i - first[r]), n) for (r, item), (s, i, n) in best.items()]
 
 
-def load_items(benchmark: DataFrame) -> ItemIndex:
-    """The benchmark on the driver, after its size has been checked."""
-    from pyspark.sql import functions as F
+def load_items(benchmark: DataFrame, most: int = MAX_ITEM_BYTES):
+    """The benchmark's items on the driver, in blocks of about half of `most` bytes, one after the other."""
+    items = benchmark.select("item_id", "text").dropDuplicates()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-2 * size // most)) if size > most else 1
+    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for k in range(blocks):
+        rows = (items.where(of == k) if blocks > 1 else items).orderBy("item_id", "text").collect()
+        yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows])
 
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"benchmark of {size} bytes is over the limit of {MAX_ITEM_BYTES}")
-    rows = benchmark.select("item_id", "text").dropDuplicates().orderBy("item_id", "text").collect()
-    return ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows])
 
-
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = MAX_ITEM_BYTES) -> DataFrame:
     """One row per document row and item it contains, with the best window.
 
     Words are compared with A-Z lower-cased.  Null or empty texts and items and
     items without an id match nothing; repeated documents are reported one by
     one; texts shorter than an item are compared whole; an empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored.  A benchmark of over `most` bytes is taken in
+    blocks, each against all documents.
     """
-    index = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))  # bounded by MAX_ITEM_BYTES
+    spark, found = docs.sparkSession, None
+    for items in load_items(benchmark, most):
+        index = spark.sparkContext.broadcast(items)  # a block of at most about MAX_ITEM_BYTES
+        part = docs.select("doc_id", "text").mapInArrow(_searcher(index), HIT)
+        found = part if found is None else found.unionByName(part)
+    return found
+
 
+def _searcher(index):
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
             ids = col(batch, "doc_id").to_pylist()
@@ -201,17 +210,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HIT.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, HIT)
+    return run
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, most: int = MAX_ITEM_BYTES) -> DataFrame:
+    """Only the rows that contain no item, all columns kept; null cases and blocks as above."""
+    for items in load_items(benchmark, most):
+        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    return docs
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Only the rows that contain no item, all columns kept; null cases as above."""
-    index = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
 
+def _cleaner(index):
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
             good = np.ones(batch.num_rows, bool)
             good[[r for r, *_ in search(index.value, col(batch, "text"))]] = False
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run

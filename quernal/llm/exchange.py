@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, col, partitions, shared_dir, slices, text_buffers
+from .common import BATCH_BYTES, MADE, col, partitions, shared_dir, slices, text_buffers
 
 MESSAGE = "bucket int, batch_id long, payload binary"
 REPLY = "batch_id long, bucket int, payload binary, extra boolean"
@@ -65,6 +65,7 @@ class Batches:
         name = f"batches_{uuid.uuid4().hex[:12]}"
         self.parts = partitions(spark)
         batched.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark, name)).bucketBy(self.parts, "batch_id").sortBy("batch_id").saveAsTable(name)
+        MADE.append(f"table:{name}")
         self.table = spark.table(name)
         self.bytes = seen.get["bytes"] or 0
         self.bits = bucket_bits(self.bytes)
@@ -101,7 +102,6 @@ class Batches:
             off = off // size
             batch = table["batch_id"].to_numpy()
             reply, extra = answer(data.reshape(-1, size), np.repeat(np.arange(len(batch)), np.diff(off)))
-            reply = np.ascontiguousarray(reply).reshape(off[-1], -1)
             rows = pa.table([pa.array(batch), pa.array(np.full(len(batch), bucket, np.int32)), _cut_buffer(reply, off), pa.array(np.zeros(len(batch), bool))], names=["batch_id", "bucket", "payload", "extra"])
             if extra is None:
                 return rows
@@ -113,24 +113,28 @@ class Batches:
         return self.spark.read.schema(replies.schema).parquet(path)
 
 
+def _bytes(x: np.ndarray) -> np.ndarray:
+    """The bytes of each of the first axis' entries, a row each."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize * int(np.prod(x.shape[1:], dtype=int)))
+
+
 def _cut_buffer(records: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Binary array whose k-th value is records bounds[k] to bounds[k + 1]."""
-    raw = np.ascontiguousarray(records).view(np.uint8).reshape(len(records), -1)
-    width = raw.shape[1] if len(raw) else 0
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((np.asarray(bounds) * width).astype(np.int32)), pa.py_buffer(raw.ravel())])
+    raw = _bytes(records)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((np.asarray(bounds) * raw.shape[1]).astype(np.int32)), pa.py_buffer(raw.ravel())])
 
 
 def messages_of(keys: np.ndarray, batch: int, bits: int, records: np.ndarray) -> pa.Table:
     """One message a bucket: the records of its keys, which are 64-bit and ascending."""
     of = (keys >> np.uint64(64 - bits)).astype(np.int32)
-    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
     bounds = np.append(begin, len(of))
     return pa.table([pa.array(of[begin]), pa.array(np.full(len(begin), batch)), _cut_buffer(records, bounds)], names=["bucket", "batch_id", "payload"])
 
 
 def records_of(*columns: np.ndarray) -> np.ndarray:
     """Columns of numbers side by side as fixed-size records of bytes."""
-    return np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1) for c in columns], 1)
+    return np.concatenate([_bytes(c) for c in columns], 1)
 
 
 def column_of(records: np.ndarray, at: int, kind: str) -> np.ndarray:

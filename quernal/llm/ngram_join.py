@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, col, hash_words, join_hash, keep, mix64, partitions, shared_dir, slices, text_buffers, word_bounds
+from .common import LOWER, MADE, col, hash_words, join_hash, keep, mix64, partitions, shared_dir, slices, text_buffers, word_bounds
 from .exchange import Batches, column_of, messages_of, records_of
 from .graph import components
 
@@ -244,6 +244,7 @@ class SetStore:
         name = f"sets_{uuid.uuid4().hex[:12]}"
         parts = partitions(spark)
         found.repartition(parts, "node").write.format("parquet").option("path", shared_dir(spark, name)).bucketBy(parts, "node").sortBy("node").saveAsTable(name)
+        MADE.append(f"table:{name}")
         self.table = spark.table(name)
 
     def compare(self, pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ windows whose fills are powers of two, which need no padding.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from functools import cache
@@ -43,6 +44,24 @@ def encoder(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: The fast encoder's pattern cannot match a longer run of white space.
+LONG_SPACE = re.compile(r"\s{100000}")
+
+
+@cache
+def plain_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def ids_of_text(path: str, text: str) -> list[int]:
+    """The file's ids of a whole text; texts with very long white space go to the plain encoder."""
+    if len(text) >= 100_000 and LONG_SPACE.search(text):
+        return plain_encoder(path).encode(text, add_special_tokens=False).ids
+    return encoder(path).encode(text, allowed_special="all")
+
+
 class LevelPacker:
     """Open windows by fill level; `place` returns the window and offset of a piece."""
 
@@ -127,12 +146,11 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        enc = encoder(vocabulary)
         packer = LevelPacker(window, TaskContext.get().partitionId() << 32)
         out: list = []
         for batch in slices(batches, "text"):
             for doc, text in zip(col(batch, "doc_id").to_pylist(), col(batch, "text").to_pylist(), strict=True):
-                ids = np.array([*enc.encode(text or "", allowed_special="all"), END_ID], dtype="<u4")
+                ids = np.array([*ids_of_text(vocabulary, text or ""), END_ID], dtype="<u4")
                 n, start = len(ids), 0
                 while n - start >= window:
                     _rows(out, packer.new_id(), [(doc, start, n, ids[start : start + window])])

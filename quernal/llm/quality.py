@@ -104,11 +104,13 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """Train on labelled rows outside fold 0; without any, all scores are 0.5."""
+    """Train on labelled rows outside fold 0, at most `max_train` texts; without any, all scores are 0.5."""
     fold_of = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     chosen = labels.where((fold_of != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text an id: repeated rows of a labelled id must not swell the fit, which runs in one task.
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
 
     def run(batches):
         texts, ys = [], []

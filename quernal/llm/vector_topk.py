@@ -28,12 +28,12 @@ HIT = "query_id long, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, v array<long>, norm2; rows null or holding null or non-finite components go."""
+    """vec_id, v array<long>, norm2; rows null, empty or holding null or non-finite components go."""
     x = F.col("embedding")
-    good = x.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
+    good = x.isNotNull() & (F.size(x) > 0) & F.col("vec_id").isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     v = F.transform(x, lambda c: F.floor(c.cast("double") * 1024).cast("long"))
     rows = vectors.where(good).select("vec_id", v.alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c))
+    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
 
 
 def _matrix(column) -> np.ndarray:
@@ -80,7 +80,7 @@ class BestK:
         for i in np.unique(q):
             at = q == i
             s, d = np.concatenate([self.score[i], score[at]]), np.concatenate([self.id[i], ids[at]])
-            order = np.lexsort((d, -s.astype(np.float64)))[: self.k]
+            order = np.lexsort((d, ~s))[: self.k]
             self.score[i], self.id[i] = s[order], d[order]
 
 
@@ -106,7 +106,8 @@ def search_block(qid, q, cid, c, k: int, basis: np.ndarray, floor=None) -> BestK
         a, b = np.nonzero((upper + slack[live, None] >= bound[live, None]) & (qid[live, None] != cid[part][None, :]))
         if len(a):
             score = np.einsum("ij,ij->i", q[live[a]], c[part][b])
-            good = score >= bound[live[a]]
+            least = bound[live[a]]
+            good = score >= least - 1e-12 * np.abs(np.where(np.isfinite(least), least, 0))  # doubles round scores over 2^53
             best.add(live[a][good], cid[part][b[good]], score[good])
     return best
 
@@ -121,9 +122,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, dim: int | None = N
     """k highest integer inner products of each query (ids divisible by `every`).
 
     Vectors of a length other than the most common one take no part, nor do
-    null vectors, null ids or vectors with null or non-finite components; ties
+    null or empty vectors, null ids or vectors with null or non-finite components; ties
     go to the smaller id, repeated ids count as rows of their own but a query's
-    own id never answers it; an empty table gives no rows.
+    own id never answers it; scores must fit 64 bits; an empty table gives no
+    rows.
     """
     spark = vectors.sparkSession
     rows = integer_vectors(vectors)

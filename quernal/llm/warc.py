@@ -5,8 +5,8 @@
 record as a gzip member of its own, and writes a sidecar index with each
 record's offset and length.  `read_indexed` opens the rewritten archives by
 that index.  Archives are real files in the cluster's shared folder, written
-under a temporary name and then renamed, so a task that is run again replaces
-its own file and nothing else.
+under a temporary name and then renamed; only those whose task has finished
+are listed and read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, shared_dir, slices, text_buffers
+from .common import col, keep, shared_dir, slices, text_buffers
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 16 << 20
@@ -148,18 +148,22 @@ def assign_types(pages: DataFrame) -> DataFrame:
 
 
 def write_monolithic(typed: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write archives of one gzip stream each; returns their paths and record counts."""
+    """Write archives of one gzip stream each; returns their paths and record counts.
+
+    Every attempt of a task names its archives anew, so what a lost one left
+    behind is in no row of the result and is not read.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:12]
         z, parts, size, n = None, [], 0, 0
 
         def done():
             nonlocal seq, z, parts, size, n
             parts.append(z.flush())
-            path = f"{folder}/part-{part:06d}-{seq:05d}.warc.gz"
+            path = f"{folder}/part-{part:06d}-{seq:05d}-{attempt}.warc.gz"
             put_file(path, parts)
             batch = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["archive", "records"])
             seq, z, parts, size, n = seq + 1, None, [], 0, 0
@@ -181,8 +185,8 @@ def write_monolithic(typed: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     return typed.mapInArrow(run, "archive string, records long")
 
 
-def normalise(spark, source: str, target: str) -> DataFrame:
-    """Rewrite every archive below `source`; returns the new paths."""
+def normalise(spark, source: str, target: str, written: DataFrame | None = None) -> DataFrame:
+    """Rewrite every archive below `source` (of them those that `written` lists); returns the new paths."""
 
     def run(batches):
         for batch in batches:
@@ -196,6 +200,9 @@ def normalise(spark, source: str, target: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in paths], pa.string()), pa.array([n for _, n in paths], pa.int64())], names=["archive", "records"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source)
+    if written is not None:
+        name = F.element_at(F.split("path", "/"), -1)
+        files = files.withColumn("name", name).join(written.select(F.element_at(F.split("archive", "/"), -1).alias("name")), "name", "left_semi")
     return files.select("path", "content").mapInArrow(run, "archive string, records long")
 
 
@@ -235,7 +242,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     raw, out = shared_dir(spark, "warc-raw"), shared_dir(spark, "warc")
-    if not write_monolithic(assign_types(pages), raw).agg(F.sum("records")).first()[0]:
+    written = keep(write_monolithic(assign_types(pages), raw), "warc-list")  # a row an archive
+    if written.isEmpty():
         return spark.createDataFrame([], ROW)
-    normalise(spark, raw, out).agg(F.sum("records")).first()
+    normalise(spark, raw, out, written).agg(F.sum("records")).first()
     return read_indexed(spark, out)

@@ -213,6 +213,14 @@ def test_packing_gives_added_tokens_their_ids(spark):
         assert zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "x", "a" + "\n" * 1_200_000, "b" + " \t" * 80_000 + "c d"])
+def test_packing_takes_very_long_white_space(text):
+    from tokenizers import Tokenizer
+
+    path = vocabulary()
+    assert packing.ids_of_text(path, text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_packer_takes_the_level_with_least_sum_of_squares():
     rng = random.Random(5)
     packer = packing.LevelPacker(16)
@@ -265,6 +273,16 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_that_a_lost_attempt_left_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * i) for i in range(20)], "page_id long, url string, html string")
+    raw, out = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    typed = warc.assign_types(pages)
+    warc.write_monolithic(typed, raw).collect()  # a lost attempt: nothing lists its archives
+    written = warc.keep(warc.write_monolithic(typed, raw), "list")
+    assert warc.normalise(spark, raw, out, written).agg({"records": "sum"}).first()[0] == 20
+    assert sorted(r.page_id for r in warc.read_indexed(spark, out).collect()) == list(range(20))
+
+
 def test_normaliser_makes_one_member_a_record():
     import gzip
 
@@ -351,6 +369,16 @@ def test_decontamination_against_brute_force(spark, rows):
     assert decontaminate.clean(make_docs(spark, documents), spark.createDataFrame(items, "item_id long, text string")).count() == len(documents) - len({i for i, _ in want})
 
 
+def test_benchmark_in_blocks_gives_the_same(spark):
+    rng = random.Random(2)
+    items = [(k, " ".join(str(rng.randrange(1000)) for _ in range(30))) for k in range(20)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    documents = make_docs(spark, [(100 + k, f"before {t} after") for k, t in items] + [(7, "nothing of it")])
+    whole, parts = ({(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, frame, most).collect()} for most in (1 << 28, 500))
+    assert whole == parts == {(100 + k, k) for k, _ in items}
+    assert [r.doc_id for r in decontaminate.clean(documents, frame, 500).collect()] == [7]
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     index = decontaminate.ItemIndex(list(range(30)), [" ".join(f"t{rng.integers(1000)}" for _ in range(20)) for _ in range(30)])
@@ -511,6 +539,38 @@ def test_training_lowers_the_loss():
     assert after > before * 0.8
 
 
+def test_topk_of_empty_and_large_vectors(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    empty = spark.createDataFrame([(0, [], 1), (1, [], 1), (100, [1.0], 1), (2, [0.5], 1)], schema)
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in vector_topk.top_k(empty).collect()] == [(100, 1, 2, 1024 * 512)]
+    large = spark.createDataFrame([(0, [1e6, 0.0], 1), (1, [1e6 + 2**-10, 0.0], 1), (2, [1e6, 0.0], 1)], schema)
+    assert [(r.vec_id, r.rank) for r in vector_topk.top_k(large, k=1).collect()] == [(1, 1)]
+
+
+def test_quality_takes_one_text_a_labelled_id(spark):
+    rows = [(i, "good fine words here" if i % 2 else "bad junk junk junk") for i in range(40)] + [(3, "good fine words here")] * 500
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = quality.classify(make_docs(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_stages_of_empty_tables_and_clashing_names(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"some words of text number {i} " * 5, "x", i) for i in range(6)] + [(2, None, "y", 1)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, _at string, _stay long").withColumnsRenamed({"_stay": "row"})
+    for frame in (clash, clash.limit(0)):
+        assert ngram_join.keep_one(frame).columns == frame.columns
+        assert ngram_join.keep_one(frame).count() == frame.count()
+        assert substring.strip(frame).count() == frame.count()
+    assert {r["_at"] for r in ngram_join.keep_one(clash).collect()} == {"x", "y"}
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    empty = make_docs(spark, [])
+    assert decontaminate.clean(empty, benchmark).count() == quality.keep_good(empty, labels).count() == 0
+    assert corpus_pipeline.packing_stage(spark, empty, "").count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(["the", "house", "river", "walks", "over", "green"]) for _ in range(60))
