@@ -113,3 +113,83 @@ def keep_best(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def top_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def group_ids(df: DataFrame, keys: list[str], name: str = "group_id") -> DataFrame:
+    """Dense ids from 1 of the distinct keys in their order; equal (also null) keys share one.
+
+    Only the distinct keys are ordered together.
+    """
+    ids = df.select(*keys).distinct().withColumn(name, F.row_number().over(Window.orderBy(*keys)))
+    same = F.lit(True)
+    right = ids.select(*[F.col(k).alias(f"_g_{k}") for k in keys], name)
+    for k in keys:
+        same = same & df[k].eqNullSafe(right[f"_g_{k}"])
+    return df.join(right, same).drop(*[f"_g_{k}" for k in keys])
+
+
+def global_ids(df: DataFrame, key: str, order: list[str], name: str = "global_id") -> DataFrame:
+    """Numbers from 1 over keys in their order, and within a key by the order; only one row a key is ordered in one task."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(key, (F.sum("_n").over(Window.orderBy(key)) - F.col("_n")).alias("_before"))
+    return df.join(before, key).withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(key).orderBy(*order))).drop("_before")
+
+
+def offsets(lengths: DataFrame, key: str, length: str) -> DataFrame:
+    """Each key with the sum of the lengths of the keys before it."""
+    return lengths.withColumn("offset", F.coalesce(F.sum(length).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def sign_flips(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Per key: changes of sign along the order (zeros take the sign before), and those from below to above zero; nulls are left out."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_s", F.last(F.nullif(F.signum(value), F.lit(0.0)), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_p", F.lag("_s").over(w))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_s") != F.col("_p")).alias("flips"), F.count_if((F.col("_p") < 0) & (F.col("_s") > 0)).alias("upward"))
+
+
+def rank_blocks(df: DataFrame, keys: list[str], order: list, n_blocks: int) -> DataFrame:
+    """Adds the place in the order (ties by the order's last columns) and one of n blocks of like size, from 0."""
+    w = Window.partitionBy(*keys)
+    rows = df.withColumn("place", F.row_number().over(w.orderBy(*order)))
+    return rows.withColumn("block", F.floor((F.col("place") - 1) * n_blocks / F.count(F.lit(1)).over(w)))
+
+
+def position_windows(df: DataFrame, keys: list[str], at: str, lengths: DataFrame, size: int, step: int) -> DataFrame:
+    """Rows repeated for every window [k * step, k * step + size) that holds them and lies whole within the key's length."""
+    rows = df.join(lengths.select(*keys, F.col("length").alias("_length")), keys)
+    first = F.greatest(F.floor((F.col(at) - size) / step) + 1, F.lit(0))
+    last = F.least(F.floor(F.col(at) / step), F.floor((F.col("_length") - size) / step))
+    return rows.where(first <= last).withColumn("window", F.explode(F.sequence(first, last))).drop("_length")
+
+
+def switch_events(df: DataFrame, keys: list[str], order: list[str], state: str) -> DataFrame:
+    """One row a change of a non-null state: from what, to what, and where."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.where(F.col(state).isNotNull()).withColumn("before", F.lag(state).over(w))
+    return rows.where(F.col("before") != F.col(state)).select(*keys, *order, "before", F.col(state).alias("after"))
+
+
+def longest_run(df: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
+    """Per key the longest run of rows whose flag holds, 0 if none does."""
+    return runs(df, keys, order, flag).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(flag), F.col("length"))), F.lit(0)).alias("longest"))
+
+
+def smoothed_sign(df: DataFrame, keys: list[str], order: list[str], sign: str, weight: str, reach: int) -> DataFrame:
+    """Adds the sign that outweighs the other among the rows within reach (1 on a tie)."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-reach, reach)
+    return df.withColumn("consensus", F.when(F.sum(F.col(sign) * F.col(weight)).over(w) < 0, -1).otherwise(1))
+
+
+def block_coherence(df: DataFrame, keys: list[str], at: str, to_first: Column, to_second: Column, blocks: int = 4) -> DataFrame:
+    """Per key: markers nearer to one group (ties left out), switch rate along positions, and the share of equal-width blocks whose majority is the overall one."""
+    label = F.when(to_first < to_second, 1).when(to_second < to_first, 2)
+    rows = df.withColumn("_l", label).where("_l is not null")
+    w = Window.partitionBy(*keys)
+    span = F.greatest(F.max(at).over(w) - F.min(at).over(w), F.lit(1))
+    rows = rows.withColumn("_b", F.least(F.floor((F.col(at) - F.min(at).over(w)) * blocks / span), F.lit(blocks - 1)))
+    rows = rows.withColumn("_s", (F.col("_l") != F.lag("_l").over(w.orderBy(at))).cast("int"))
+    per = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_l") == 1).alias("a"), F.coalesce(F.sum("_s"), F.lit(0)).alias("s"))
+    whole = per.withColumns({"_n": F.sum("n").over(w), "_a": F.sum("a").over(w)})
+    agree = ((2 * F.col("a") >= F.col("n")) == (2 * F.col("_a") >= F.col("_n"))).cast("int")
+    return whole.groupBy(*keys).agg(F.sum("n").alias("n"), F.try_divide(F.sum("s"), F.sum("n") - 1).alias("switch_rate"), F.avg(agree).alias("agreement"))
