@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _canonical(vectors: np.ndarray) -> np.ndarray:
@@ -67,7 +68,10 @@ def kmeans_1d(df: DataFrame, key: str, ident: str, value: str, k: int = 3, round
 
 
 def permutation_p(df: DataFrame, key: str, ident: str, label: str, value: str, draws: int = 200, seed: int = 42) -> DataFrame:
-    """Add-one p of |mean difference| between label 1 and 0; each group draws from its own seed."""
+    """Add-one p of |mean difference| between label 1 and 0; each group draws from its own seed.
+
+    Rows with a null value or label take no part; a group with one label alone has null results.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ident)
@@ -80,4 +84,5 @@ def permutation_p(df: DataFrame, key: str, ident: str, label: str, value: str, d
         more = sum(abs(x[s].mean() - x[~s].mean()) >= abs(seen) - 1e-12 for s in (rng.permutation(y) for _ in range(draws)))
         return pd.DataFrame({key: [name], "difference": [seen], "p": [(more + 1) / (draws + 1)]})
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, difference double, p double")
+    kept = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
+    return kept.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, difference double, p double")

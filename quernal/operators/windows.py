@@ -181,14 +181,14 @@ def smoothed_sign(df: DataFrame, keys: list[str], order: list[str], sign: str, w
     return df.withColumn("consensus", F.when(F.sum(F.col(sign) * F.col(weight)).over(w) < 0, -1).otherwise(1))
 
 
-def block_coherence(df: DataFrame, keys: list[str], at: str, to_first: Column, to_second: Column, blocks: int = 4) -> DataFrame:
+def block_coherence(df: DataFrame, keys: list[str], at: str, ties: list[str], to_first: Column, to_second: Column, blocks: int = 4) -> DataFrame:
     """Per key: markers nearer to one group (ties left out), switch rate along positions, and the share of equal-width blocks whose majority is the overall one."""
     label = F.when(to_first < to_second, 1).when(to_second < to_first, 2)
     rows = df.withColumn("_l", label).where("_l is not null")
     w = Window.partitionBy(*keys)
     span = F.greatest(F.max(at).over(w) - F.min(at).over(w), F.lit(1))
     rows = rows.withColumn("_b", F.least(F.floor((F.col(at) - F.min(at).over(w)) * blocks / span), F.lit(blocks - 1)))
-    rows = rows.withColumn("_s", (F.col("_l") != F.lag("_l").over(w.orderBy(at))).cast("int"))
+    rows = rows.withColumn("_s", (F.col("_l") != F.lag("_l").over(w.orderBy(at, *ties))).cast("int"))
     per = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_l") == 1).alias("a"), F.coalesce(F.sum("_s"), F.lit(0)).alias("s"))
     whole = per.withColumns({"_n": F.sum("n").over(w), "_a": F.sum("a").over(w)})
     agree = ((2 * F.col("a") >= F.col("n")) == (2 * F.col("_a") >= F.col("_n"))).cast("int")

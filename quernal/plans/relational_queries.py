@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
 from ..operators import aggregates as ag
-from ..operators import rules
+from ..operators import rules, sets
 from ..sources.tables import read
 
 QUERIES: dict = {}
@@ -107,7 +107,7 @@ def cumulative_distinct(spark, sf):
 
 _TABLE = """t AS (SELECT c_nationkey, count(*) FILTER (c_mktsegment = 'BUILDING' AND o_orderstatus = 'F') AS a, count(*) FILTER (c_mktsegment = 'BUILDING' AND o_orderstatus <> 'F') AS b,
  count(*) FILTER (c_mktsegment <> 'BUILDING' AND o_orderstatus = 'F') AS c, count(*) FILTER (c_mktsegment <> 'BUILDING' AND o_orderstatus <> 'F') AS d
- FROM (SELECT * FROM orders WHERE o_orderkey % 8 = 0) JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey)"""
+ FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey)"""
 
 
 @query(f"""WITH {_TABLE}, x AS (SELECT *, a + b AS r1, a + c AS c1, a + b + c + d AS n, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS x FROM t),
@@ -116,12 +116,34 @@ s AS (SELECT c_nationkey, lp AS seen FROM l WHERE x = a)
 SELECT l.c_nationkey, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, round(least(1.0, sum(CASE WHEN lp <= seen + 1e-12 THEN exp(lp) ELSE 0 END)), 6) AS p,
  round(any_value(CASE WHEN b * c > 0 THEN a * d / (b * c) END), 6) AS odds FROM l JOIN s USING (c_nationkey) GROUP BY l.c_nationkey""")
 def fisher_exact(spark, sf):
-    o = read(spark, sf, "orders").where("o_orderkey % 8 = 0").join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     seg, fin = F.col("c_mktsegment") == "BUILDING", F.col("o_orderstatus") == "F"
     t = o.groupBy("c_nationkey").agg(*ag.count_where({"a": seg & fin, "b": seg & ~fin, "c": ~seg & fin, "d": ~seg & ~fin}))
     return stats.fisher_exact(t, "a", "b", "c", "d").select("c_nationkey", "a", "b", "c", "d", F.round("p", 6).alias("p"), F.round(stats.odds_ratio("a", "b", "c", "d"), 6).alias("odds"))
 
 
+def _fisher_table(spark, sf):
+    o = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    seg, fin = F.col("c_mktsegment") == "BUILDING", F.col("o_orderstatus") == "F"
+    return o.groupBy("c_nationkey").agg(*ag.count_where({"a": seg & fin, "b": seg & ~fin, "c": ~seg & fin, "d": ~seg & ~fin}))
+
+
+@query(f"""WITH {_TABLE}, x AS (SELECT *, a + b AS r1, a + c AS c1, a + b + c + d AS n, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS x FROM t),
+l AS (SELECT *, exp(lgamma(c1 + 1) - lgamma(x + 1) - lgamma(c1 - x + 1) + lgamma(n - c1 + 1) - lgamma(r1 - x + 1) - lgamma(n - c1 - r1 + x + 1) - (lgamma(n + 1) - lgamma(r1 + 1) - lgamma(n - r1 + 1))) AS p FROM x)
+SELECT c_nationkey, round(least(1.0, sum(p) FILTER (x >= a)), 6) AS p_greater, round(any_value((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))), 6) AS odds, round(any_value(exp(ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) - 1.959963984540054 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5)))), 6) AS lower,
+ round(any_value(exp(ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) + 1.959963984540054 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5)))), 6) AS upper FROM l GROUP BY c_nationkey""")
+def fisher_one_sided(spark, sf):
+    t = stats.fisher_greater(_fisher_table(spark, sf), "a", "b", "c", "d").withColumn("w", stats.woolf_interval("a", "b", "c", "d"))
+    return t.select("c_nationkey", F.round("p_greater", 6).alias("p_greater"), *[F.round(f"w.{k}", 6).alias(k) for k in ("odds", "lower", "upper")])
+
+
+@query("""WITH r AS (SELECT DISTINCT o_orderpriority AS s, o_custkey AS m FROM orders), z AS (SELECT s, count(*) AS n FROM r GROUP BY s), k AS (SELECT a.s AS a, b.s AS b, count(*) AS shared FROM r a JOIN r b ON a.m = b.m AND a.s < b.s GROUP BY 1, 2)
+SELECT x.s AS a, y.s AS b, x.n AS n_a, y.n AS n_b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)), 6) AS jaccard, CASE WHEN coalesce(shared, 0) = 0 THEN 'DISJOINT' WHEN shared = x.n AND shared = y.n THEN 'IDENTICAL' WHEN shared = x.n OR shared = y.n THEN 'NESTED' ELSE 'OVERLAPPING' END AS relation FROM z x JOIN z y ON x.s < y.s LEFT JOIN k ON k.a = x.s AND k.b = y.s""")
+def compare_sets(spark, sf):
+    out = sets.compare_all(read(spark, sf, "orders"), "o_orderpriority", "o_custkey", 1500)
+    return out.select("a", "b", "n_a", "n_b", "shared", F.round("jaccard", 6).alias("jaccard"), "relation")
+
+
 @query("""WITH t AS (SELECT c_mktsegment AS x, o_orderpriority AS y, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
 xs AS (SELECT x, sum(n) AS nx FROM t GROUP BY x), ys AS (SELECT y, sum(n) AS ny FROM t GROUP BY y), tot AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM t),
 c AS (SELECT sum(n * (n - 1) / 2.0) AS s, sum(n / total * ln(n * total / (nx * ny))) AS mi, sum(n * n / (nx * ny / total)) AS q, max(total) AS total FROM t JOIN xs USING (x) JOIN ys USING (y), tot),

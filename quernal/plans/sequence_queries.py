@@ -107,12 +107,12 @@ def genome_offsets(spark, sf):
     return wn.offsets(lengths, "n_nationkey", "length")
 
 
-@query("""WITH m AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS spot, CASE WHEN l_discount < l_tax THEN 1 WHEN l_tax < l_discount THEN 2 END AS l FROM lineitem), k AS (SELECT *, min(spot) OVER (PARTITION BY l_suppkey) AS lo, greatest(max(spot) OVER (PARTITION BY l_suppkey) - min(spot) OVER (PARTITION BY l_suppkey), 1) AS span, CAST(l <> lag(l) OVER (PARTITION BY l_suppkey ORDER BY spot) AS INT) AS s FROM m WHERE l IS NOT NULL),
+@query("""WITH m AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS spot, l_partkey, l_extendedprice, l_shipdate, CASE WHEN l_discount < l_tax THEN 1 WHEN l_tax < l_discount THEN 2 END AS l FROM lineitem), k AS (SELECT *, min(spot) OVER (PARTITION BY l_suppkey) AS lo, greatest(max(spot) OVER (PARTITION BY l_suppkey) - min(spot) OVER (PARTITION BY l_suppkey), 1) AS span, CAST(l <> lag(l) OVER (PARTITION BY l_suppkey ORDER BY spot, l_partkey, l_extendedprice, l_shipdate) AS INT) AS s FROM m WHERE l IS NOT NULL),
 b AS (SELECT l_suppkey, least((spot - lo) * 4 // span, 3) AS b, count(*) AS n, count(*) FILTER (l = 1) AS a, coalesce(sum(s), 0) AS s FROM k GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey) AS nn, sum(a) OVER (PARTITION BY l_suppkey) AS aa FROM b)
 SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / (sum(n) - 1), 6) AS switch_rate, round(avg(CAST((2 * a >= n) = (2 * aa >= nn) AS INT)), 6) AS agreement FROM w GROUP BY l_suppkey""")
 def block_coherence(spark, sf):
     li = read(spark, sf, "lineitem").withColumn("at", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    out = wn.block_coherence(li, ["l_suppkey"], "at", F.col("l_discount"), F.col("l_tax"))
+    out = wn.block_coherence(li, ["l_suppkey"], "at", ["l_partkey", "l_extendedprice", "l_shipdate"], F.col("l_discount"), F.col("l_tax"))
     return out.select("l_suppkey", "n", F.round("switch_rate", 6).alias("switch_rate"), F.round("agreement", 6).alias("agreement"))
 
 
@@ -157,7 +157,7 @@ def matched_draws(spark, sf):
     return sp.matched_draws(p, p, ["p_brand"], "l", "d", 2, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""WITH p AS (SELECT p_brand, p_partkey AS id, p_retailprice AS spot FROM part), d AS (SELECT a.p_brand, a.id AS u, b.id AS v, abs(a.spot - b.spot) AS d, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.spot - b.spot), b.id) AS k FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id <> b.id) SELECT DISTINCT p_brand, least(u, v) AS u, greatest(u, v) AS v, round(d, 6) AS distance FROM d WHERE k <= 4""")
+@query("""WITH p AS (SELECT p_brand, p_partkey AS id, p_retailprice AS spot, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS r FROM part), d AS (SELECT a.p_brand, a.id AS u, b.id AS v, abs(a.spot - b.spot) AS d, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.spot - b.spot), abs(a.r - b.r), b.id) AS k FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id <> b.id) SELECT DISTINCT p_brand, least(u, v) AS u, greatest(u, v) AS v, round(d, 6) AS distance FROM d WHERE k <= 4""")
 def nearest_edges(spark, sf):
     return sp.nearest_edges(read(spark, sf, "part"), ["p_brand"], "p_retailprice", "p_partkey", 4).withColumn("distance", F.round("distance", 6)).distinct()
 
