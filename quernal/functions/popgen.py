@@ -17,10 +17,10 @@ def average_rank(value: str, keys: list[str]) -> Column:
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -> DataFrame:
-    """Rank correlation per key over rows with both values; null below `least` rows."""
+    """Rank correlation per key over rows with both values; null below `least` rows and where a side has one value only."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("_r")).withColumn("rho", F.when(F.col("n") >= least, F.col("_r"))).drop("_r")
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_x", "_y").alias("_c"), (F.var_pop("_x") * F.var_pop("_y")).alias("_v")).withColumn("rho", F.when(F.col("n") >= least, F.try_divide("_c", F.sqrt("_v")))).drop("_c", "_v")
 
 
 def armitage_z(cases: list[Column], controls: list[Column], scores: list[float]) -> Column:
