@@ -139,6 +139,50 @@ class LinkageRequest:
         return "linkage." + hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:24]
 
 
+BLOCK = 256
+
+
+def _r2(a, b):
+    """Squared correlations of the rows of two matrices over the columns where both are present, and how many those are."""
+    import numpy as np
+
+    m, k = ~np.isnan(a), ~np.isnan(b)
+    x, y, m, k = np.where(m, a, 0.0), np.where(k, b, 0.0), m.astype(float), k.astype(float)
+    n = m @ k.T
+    sx, sy = x @ k.T, m @ y.T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = x @ y.T - sx * sy / n
+        spread = ((x * x) @ k.T - sx * sx / n) * (m @ (y * y).T - sy * sy / n)
+        return np.where(spread > 1e-12, cov * cov / spread, np.nan), n
+
+
+def pairwise_r2(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, r2, n) for all pairs a < b of rows (pos, x): missing numbers are left out pair by pair, r2 is null without variation.
+
+    Rows are dealt to pairs of blocks, one matrix product a pair of blocks.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import Window
+
+    placed = rows.withColumn("_k", F.floor((F.row_number().over(Window.orderBy("pos")) - 1) / block))  # a request's sites, at most MOST_SITES
+    last = placed.agg(F.max("_k")).first()[0]
+    if last is None:
+        return rows.sparkSession.createDataFrame([], "a long, b long, r2 double, n long")
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        p, q = left["pos"].to_numpy(), right["pos"].to_numpy()
+        x, y = (np.array([[np.nan if v is None else v for v in r] for r in f["x"]], float) for f in (left, right))
+        r2, n = _r2(x, y)
+        i, j = np.nonzero(p[:, None] < q[None, :])
+        out = pd.DataFrame({"a": p[i], "b": q[j], "r2": r2[i, j], "n": n[i, j].astype("int64")})
+        return out.astype(object).where(out.notna(), None)
+
+    left = placed.withColumn("_j", F.explode(F.sequence(F.col("_k"), F.lit(last)))).select(F.col("_k").alias("i"), F.col("_j").alias("j"), "pos", "x")
+    right = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k")))).select(F.col("_i").alias("i"), F.col("_k").alias("j"), "pos", "x")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "a long, b long, r2 double, n long")
+
+
 def linkage(store: DataFrame, request: LinkageRequest) -> DataFrame:
     """r2 of all pairs of the thinned sites, per group; null where a site does not vary.
 
@@ -149,11 +193,7 @@ def linkage(store: DataFrame, request: LinkageRequest) -> DataFrame:
     out = None
     for name, ids in request.groups.items():
         members = sorted(set(ids) & set(samples_of(store)))
-        v = chosen.select("pos", F.array(*[F.col(m).cast("double") for m in members]).alias("x"))
-        a, b = v.select(F.col("pos").alias("a"), F.col("x").alias("xa")), v.select(F.col("pos").alias("b"), F.col("x").alias("xb"))
-        pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", F.explode(F.arrays_zip("xa", "xb")).alias("z"))
-        r = pairs.where("z.xa is not null and z.xb is not null").groupBy("a", "b").agg(F.covar_pop("z.xa", "z.xb").alias("c"), F.var_pop("z.xa").alias("va"), F.var_pop("z.xb").alias("vb"), F.count(F.lit(1)).alias("n"))
-        part = r.select(F.lit(name).alias("grp"), "a", "b", F.try_divide(F.col("c") * F.col("c"), F.col("va") * F.col("vb")).alias("r2"), "n")
+        part = pairwise_r2(chosen.select("pos", F.array(*[F.col(m).cast("double") for m in members]).alias("x"))).select(F.lit(name).alias("grp"), "a", "b", "r2", "n")
         out = part if out is None else out.unionByName(part)
     return out
 
