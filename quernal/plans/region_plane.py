@@ -162,7 +162,7 @@ def pairwise_r2(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     Rows are dealt to pairs of blocks, one matrix product a pair of blocks.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
     from pyspark.sql import Window
 
     placed = rows.withColumn("_k", F.floor((F.row_number().over(Window.orderBy("pos")) - 1) / block))  # a request's sites, at most MOST_SITES
@@ -170,17 +170,19 @@ def pairwise_r2(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     if last is None:
         return rows.sparkSession.createDataFrame([], "a long, b long, r2 double, n long")
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        p, q = left["pos"].to_numpy(), right["pos"].to_numpy()
-        x, y = (np.array([[np.nan if v is None else v for v in r] for r in f["x"]], float) for f in (left, right))
-        r2, n = _r2(x, y)
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        flat = np.array(table[name].combine_chunks().flatten().to_pandas(), dtype=float)
+        return flat.reshape(table.num_rows, -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        p, q = left["p"].to_numpy(), right["q"].to_numpy()
+        r2, n = _r2(matrix(left, "x"), matrix(right, "y"))
         i, j = np.nonzero(p[:, None] < q[None, :])
-        out = pd.DataFrame({"a": p[i], "b": q[j], "r2": r2[i, j], "n": n[i, j].astype("int64")})
-        return out.astype(object).where(out.notna(), None)
+        return pa.table([pa.array(p[i], pa.int64()), pa.array(q[j], pa.int64()), pa.array(r2[i, j], pa.float64(), from_pandas=True), pa.array(n[i, j].astype(np.int64))], names=["a", "b", "r2", "n"])
 
-    left = placed.withColumn("_j", F.explode(F.sequence(F.col("_k"), F.lit(last)))).select(F.col("_k").alias("i"), F.col("_j").alias("j"), "pos", "x")
-    right = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k")))).select(F.col("_i").alias("i"), F.col("_k").alias("j"), "pos", "x")
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "a long, b long, r2 double, n long")
+    left = placed.withColumn("_j", F.explode(F.sequence(F.col("_k"), F.lit(last)))).select(F.col("_k").alias("i"), F.col("_j").alias("j"), F.col("pos").alias("p"), F.col("x").alias("x"))
+    right = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k")))).select(F.col("_i").alias("i"), F.col("_k").alias("j"), F.col("pos").alias("q"), F.col("x").alias("y"))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "a long, b long, r2 double, n long")
 
 
 def linkage(store: DataFrame, request: LinkageRequest) -> DataFrame:
