@@ -145,7 +145,7 @@ def bootstrap_panels(spark, sf):
 
 @query(f"""WITH o AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row FROM part WHERE p_size >= 25), z AS (SELECT p_brand, count(*) AS n FROM o GROUP BY p_brand), k AS (SELECT p_brand, d, {_HASH.format("'3:' || p_brand || ':' || d || ':' || i")} % n AS row FROM z, range(0, 40) a(d), range(0, 15) b(i)),
 m AS (SELECT k.p_brand, d, avg(p_retailprice) AS m FROM k JOIN o ON o.p_brand = k.p_brand AND o.row = k.row GROUP BY ALL), u AS (SELECT p_brand, avg(m) AS null_mean, stddev_samp(m) AS null_sd FROM m GROUP BY p_brand), s AS (SELECT p_brand, avg(p_retailprice) AS observed FROM part WHERE p_size < 25 GROUP BY p_brand)
-SELECT p_brand, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round((observed - null_mean) / null_sd, 6) AS z FROM s LEFT JOIN u USING (p_brand)""")
+SELECT p_brand, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, CASE WHEN null_sd > 0 THEN round((observed - null_mean) / null_sd, 6) END AS z FROM s LEFT JOIN u USING (p_brand)""")
 def resampled_z(spark, sf):
     out = sp.resampled_z(read(spark, sf, "part"), ["p_brand"], "p_partkey", "p_retailprice", F.col("p_size") < 25, 40, 15, 3)
     return out.select("p_brand", *[F.round(c, 6).alias(c) for c in ("observed", "null_mean", "null_sd", "z")])
