@@ -31,7 +31,7 @@ def flank(sequence: Column, start: Column, end: Column) -> Column:
     return F.upper(F.substr(sequence, a + 1, b - a))
 
 
-# Patterns of chromosome names and what they become; other names stay.
+# Defaults of this library, not taken from elsewhere: patterns of chromosome names and what they become; other names stay.
 CHROMOSOMES = [(r"^(?:chr|lg|scaffold_?)0*(\d+)$", "LG$1"), (r"^0*(\d+)$", "LG$1"), (r"^(?:chr)?(x|y|z|w|mt)$", "$1")]
 
 
@@ -42,7 +42,7 @@ def chromosome(name: Column, patterns: list[tuple[str, str]] = CHROMOSOMES) -> C
     return out.otherwise(name)
 
 
-# Words in a repeat's class or family, in this order, and their buckets.
+# Defaults of this library, not taken from elsewhere: words in a class or family, in this order, and their buckets.
 REPEAT_BUCKETS = [("ltr", "LTR"), ("line", "LINE"), ("sine", "SINE"), ("helitron", "Helitron"), ("mite", "MITE"), ("dna", "DNA"), ("tir", "DNA"), ("satellite", "Satellite"), ("simple", "Simple"), ("low_complexity", "Simple")]
 NON_CODING = [("trna", "tRNA"), ("rrna", "rRNA"), ("mirna", "miRNA"), ("snorna", "snoRNA"), ("snrna", "snRNA"), ("lnc", "lncRNA")]
 
@@ -51,12 +51,12 @@ def by_word(text: Column, words: list[tuple[str, str]], otherwise: str) -> Colum
     return first_match([(has(text, w), label) for w, label in words], otherwise)
 
 
-def repeat_bucket(kind: Column) -> Column:
-    return by_word(kind, REPEAT_BUCKETS, "Other")
+def repeat_bucket(kind: Column, words: list[tuple[str, str]] = REPEAT_BUCKETS) -> Column:
+    return by_word(kind, words, "Other")
 
 
-def non_coding_class(feature: Column, product: Column) -> Column:
-    return by_word(F.concat_ws(" ", feature, product), NON_CODING, "other_ncRNA")
+def non_coding_class(feature: Column, product: Column, words: list[tuple[str, str]] = NON_CODING) -> Column:
+    return by_word(F.concat_ws(" ", feature, product), words, "other_ncRNA")
 
 
 def attribute(text: Column, key: str) -> Column:

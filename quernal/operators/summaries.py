@@ -207,6 +207,9 @@ def block_support(df: DataFrame, sample: str, block: str, at: str, tiers: dict[s
 
 
 def anchor_eligibility(df: DataFrame, key: str, distance: str, coherent: Column, core: Column, least: int = 5, least_core: int = 3, most_cv: float = 0.5, least_share: float = 0.6) -> DataFrame:
-    """Per group: members, core members, variation of distances, coherent share, and the first reason against it."""
+    """Per group: members, core members, variation of distances, coherent share, and the first reason against it.
+
+    The bounds are defaults of this library; give those of the study.
+    """
     out = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(holds(core)).alias("n_core"), F.when(F.avg(distance) != 0, F.stddev_samp(distance) / F.avg(distance)).alias("cv"), F.avg(holds(coherent).cast("int")).alias("coherent"))
     return out.withColumn("reason", first_match([(F.col("n") < least, "too_few"), (F.col("n_core") < least_core, "small_core"), (F.col("cv") > most_cv, "dispersed"), (F.col("coherent") < least_share, "incoherent")], "eligible"))
