@@ -2,20 +2,22 @@
 
 Vectors become integers, floor(1024 * x).  An orthogonal rotation from the
 eigenvectors of their Gram matrix moves most of their length into the first
-coordinates.  Candidates are cut into blocks by descending length; each pair of
-a query block and a candidate block is one task.  Within a task candidates are
-taken in order of length: once |q| |x| cannot reach a query's k-th best score,
-all later ones are skipped, and for the rest a partial sum over the first
-coordinates plus the Cauchy-Schwarz bound of what is left decides who is scored
-in full, with exact integers.  Each query's first threshold comes from the
-block of the longest vectors.
+coordinates.  Candidates are cut into classes by descending length and these
+into blocks; the first block gives each query a floor, its k-th best score
+there.  By |q| |x| >= floor a query needs a leading run of the classes alone:
+queries of like reach share a query block, and neither they nor candidates are
+copied to pairs of blocks beyond it.  Each pair of blocks left is one task.
+Within it candidates are taken in order of length: once |q| |x| cannot reach a
+query's k-th best score, all later ones are skipped, and for the rest a partial
+sum over the first coordinates plus the Cauchy-Schwarz bound of what is left
+decides who is scored in full, with exact integers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, keep
@@ -24,6 +26,8 @@ HEAD = 16
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 CHUNK = 1024
+CLASSES = 1024  # of length; each is split into as many blocks as its rows fill
+NO_FLOOR = -(1 << 62)
 HIT = "query_id long, vec_id long, score long"
 
 
@@ -118,6 +122,54 @@ def _hits(best: BestK, qid) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(best.id[got]), pa.array(best.score[got])], names=["query_id", "vec_id", "score"])
 
 
+def _at(numbers: np.ndarray, index: str) -> Column:
+    """The number at a class; an array of at most CLASSES + 1 numbers."""
+    return F.get(F.array(*[F.lit(int(n)).cast("long") for n in numbers]), F.col(index))
+
+
+def _range(start: int, end: Column) -> Column:
+    """start, ..., end - 1; empty where there is none."""
+    return F.when(end > start, F.sequence(F.lit(start).cast("long"), end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _classify(column: str, edges: np.ndarray):
+    """Add the class of a squared length: 0 above every edge, one more for each edge at or above it."""
+
+    def run(batches):
+        for batch in batches:
+            place = len(edges) - np.searchsorted(edges, col(batch, column).to_numpy(zero_copy_only=False), "left")
+            yield batch.append_column("class", pa.array(place.astype(np.int32)))
+
+    return run
+
+
+def least_length2(floor: str, qnorm2: str) -> Column:
+    """The squared length below which no candidate reaches the floor by |q| |x|, less what rounding may cost."""
+    f = F.col(floor).cast("double")
+    return F.when(f <= 0, F.lit(0.0)).when(F.col(qnorm2) == 0, F.lit(float("inf"))).otherwise(f * f / F.col(qnorm2) * (1 - 1e-9))
+
+
+def query_groups(counts: dict[int, int], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query blocks of like reach.
+
+    Per last class that a query needs: its first query block and how many it
+    is spread over.  Per candidate class: how many leading query blocks need it.
+    Far-reaching queries come first; small classes share one block.
+    """
+    first, split, wanted = (np.zeros(classes, np.int64) for _ in range(3))
+    at, filled = -1, QUERY_ROWS
+    for last in range(classes - 1, -1, -1):
+        n = counts.get(last, 0)
+        if n and filled + n <= QUERY_ROWS:
+            first[last], split[last], filled = at, 1, filled + n
+        elif n:
+            first[last], split[last] = at + 1, -(-n // QUERY_ROWS)
+            at += int(split[last])
+            filled = n if split[last] == 1 else QUERY_ROWS
+        wanted[last] = at + 1
+    return first, split, wanted
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, dim: int | None = None) -> DataFrame:
     """k highest integer inner products of each query (ids divisible by `every`).
 
@@ -137,24 +189,21 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, dim: int | None = N
     rows = keep(rows.where(F.size("v") == dim), "vectors")
     basis = rotation(rows, dim)
     total = rows.count()
-    blocks = max(1, -(-total // BLOCK_ROWS))
-    # Bounds of the candidate blocks: quantiles of the lengths, one number a block.
-    edges = rows.approxQuantile("norm2", [i / blocks for i in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []
-    step = F.lit(0)
-    for e in dict.fromkeys(edges):
-        step = step + (F.col("norm2") <= e).cast("int")
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(4))  # equal lengths may fill one block: four parts a block
-    cands = rows.select("vec_id", "v", "norm2", (step * 4 + salt).cast("int").alias("block"))
-    queries = rows.where(F.col("vec_id") % every == 0)
+    classes = min(CLASSES, max(1, -(-total // BLOCK_ROWS)))
+    # Bounds of the classes, longest first: quantiles of the lengths, at most CLASSES numbers.
+    cuts = rows.approxQuantile("norm2", [i / classes for i in range(1, classes)], 0.25 / classes) if classes > 1 else []
+    edges = np.array(sorted(set(cuts)))
+    cands = keep(rows.mapInArrow(_classify("norm2", edges), "vec_id long, v array<long>, norm2 double, class int"), "topk-classes")
+    parts = np.zeros(len(edges) + 1, np.int64)
+    for r in cands.groupBy("class").count().collect():
+        parts[r["class"]] = -(-r["count"] // BLOCK_ROWS)
+    ends = np.cumsum(parts)  # blocks of a class and all longer ones
+    block = _at(ends - parts, "class") + F.pmod(F.xxhash64("vec_id", "v"), F.greatest(_at(parts, "class"), F.lit(1)))
+    cands = cands.withColumn("block", block)
     query_blocks = max(1, -(-total // every // QUERY_ROWS))
-    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("qblock"))
-    ids = [r["block"] for r in cands.select("block").distinct().collect()]  # one number a block
-    first = min(ids, default=0)
-
-    def tasks(c_ids: list[int]):
-        left = cands.where(F.col("block").isin(c_ids)).withColumn("qblock", F.explode(F.array([F.lit(i) for i in range(query_blocks)])))
-        right = queries.withColumn("block", F.explode(F.array([F.lit(i) for i in c_ids])))
-        return left, right
+    by_hash = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("qblock", by_hash)
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm2").alias("qnorm2"), "qblock")
 
     def run(floors: bool):
         def work(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -166,14 +215,19 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, dim: int | None = N
 
         return work
 
-    left, right = tasks([first])
+    left = cands.where("block = 0").withColumn("qblock", F.explode(_range(0, F.lit(query_blocks))))
+    right = queries.withColumn("block", F.lit(0).cast("long"))
     head = keep(left.groupBy("block", "qblock").cogroup(right.groupBy("block", "qblock")).applyInArrow(run(False), HIT), "topk-head")
-    floors = head.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-(1 << 62))).alias("floor"))
     hits = head
-    rest = [i for i in ids if i != first]
-    if rest:
-        left, right = tasks(rest)
-        right = right.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(1 << 62))))
+    if ends[-1] > 1:
+        floors = head.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NO_FLOOR)).alias("floor"))
+        asked = queries.drop("qblock").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NO_FLOOR)))
+        asked = keep(asked.withColumn("need2", least_length2("floor", "qnorm2")).mapInArrow(_classify("need2", edges), "query_id long, q array<long>, qnorm2 double, floor long, need2 double, class int"), "topk-asked")
+        counts = {r["class"]: r["count"] for r in asked.groupBy("class").count().collect()}
+        first, split, wanted = query_groups(counts, len(parts))
+        asked = asked.withColumn("qblock", _at(first, "class") + F.pmod(F.xxhash64("query_id", F.lit(1)), F.greatest(_at(split, "class"), F.lit(1))))
+        right = asked.withColumn("block", F.explode(_range(1, _at(ends, "class"))))
+        left = cands.where("block > 0").withColumn("qblock", F.explode(_range(0, _at(wanted, "class"))))
         hits = head.unionByName(left.groupBy("block", "qblock").cogroup(right.groupBy("block", "qblock")).applyInArrow(run(True), HIT))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)

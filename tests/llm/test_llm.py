@@ -539,6 +539,33 @@ def test_training_lowers_the_loss():
     assert after > before * 0.8
 
 
+def test_topk_of_long_tails_and_equal_lengths(spark, monkeypatch):
+    """Lengths over three orders of magnitude, and a third of all rows one and the same vector; pairs of blocks beyond a query's reach are not made."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(900, 12)) * np.exp(rng.normal(size=(900, 1)) * 2)
+    m[600:] = m[0]
+    m[300] = 0
+    rows = [(i, m[i].tolist()) for i in range(900)]
+    z = np.floor(1024 * m).astype(np.int64)
+    want = set()
+    for q in range(0, 900, 100):
+        s = z @ z[q]
+        best = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:10]
+        want |= {(q, r + 1, i, int(s[i])) for r, i in enumerate(best)}
+    monkeypatch.setattr(vector_topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(vector_topk, "QUERY_ROWS", 3)
+    assert set(map(tuple, vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())) == want
+
+
+def test_query_groups_reach_every_class_they_need():
+    counts, classes = {0: 5000, 3: 10, 5: 20, 9: 2040}, 12
+    first, split, wanted = vector_topk.query_groups(counts, classes)
+    for last in counts:
+        for c in range(last + 1):
+            assert first[last] + split[last] <= wanted[c]
+    assert wanted[10] == 0 and wanted[9] == 1 and split[0] == 3
+
+
 def test_topk_of_empty_and_large_vectors(spark):
     schema = "vec_id long, embedding array<double>, label int"
     empty = spark.createDataFrame([(0, [], 1), (1, [], 1), (100, [1.0], 1), (2, [0.5], 1)], schema)
