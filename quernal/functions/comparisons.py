@@ -7,6 +7,7 @@ before the shuffle and only distinct values of a key are ordered.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -187,3 +188,54 @@ def leave_one_out_fst(df: DataFrame, site: str, band: str, group: str, alt: str,
     rows = minus.unionByName(whole.select(F.lit(None).cast(df.schema[group].dataType).alias(group), *[F.col(f"w{c}").alias(c) for c in names])).where((F.col("_t0") >= least) & (F.col("_t1") >= least))
     num, den = hudson_terms(F.col("_a0") / F.col("_t0"), F.col("_t0"), F.col("_a1") / F.col("_t1"), F.col("_t1"))
     return rows.groupBy(group).agg(F.try_divide(F.sum(num), F.sum(den)).alias("fst"))
+
+
+@lru_cache(maxsize=4096)
+def _rank_sum_counts(n1: int, n0: int) -> tuple[int, ...]:
+    """How many of the orders of n1 and n0 rows have each U, as the Gaussian binomial's coefficients."""
+    out = [1] + [0] * (n1 * n0)
+    for i in range(1, n1 + 1):
+        for at in range(len(out) - 1, n0 + i - 1, -1):
+            out[at] -= out[at - n0 - i]
+        for at in range(i, len(out)):
+            out[at] += out[at - i]
+    return tuple(out)
+
+
+@F.pandas_udf(DoubleType())
+def exact_rank_p(u: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
+    """Two-sided p of U without ties; null where a side is empty."""
+
+    def p(u, n1, n0):
+        if pd.isna(u) or n1 < 1 or n0 < 1:
+            return None
+        counts = _rank_sum_counts(int(n1), int(n0))
+        return min(1.0, 2 * sum(counts[: int(min(u, n1 * n0 - u)) + 1]) / sum(counts))
+
+    return pd.Series([p(*x) for x in zip(u, n1, n0, strict=True)], dtype="float64")
+
+
+def pairwise_ranks(df: DataFrame, keys: list[str], group: str, value: str, exact_below: int = 50) -> DataFrame:
+    """Rank test of each pair a < b of a key's groups: U of a, z, p, and q adjusted over the key's pairs.
+
+    p is exact where both sides have fewer than `exact_below` rows and no
+    value repeats, and normal with ties and continuity corrected elsewhere.
+    Rows with a null group or value are left out; where all values are equal
+    z, p and q are null, and the pair does not count in the adjustment.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(*keys, F.col(group).alias("_group"), F.col(value).alias("_value"))
+    known = rows.select(*keys, "_group").distinct()
+    pairs = known.withColumnRenamed("_group", "a").join(known.withColumnRenamed("_group", "b"), keys).where("a < b")
+    sided = pairs.withColumn("_side", F.explode(F.array("a", "b"))).withColumnRenamed("_side", "_group")
+    both = rows.join(sided, [*keys, "_group"]).withColumn("_first", F.col("_group") == F.col("a"))
+    by = [*keys, "a", "b"]
+    ties = both.groupBy(*by, "_value").count().groupBy(*by).agg((F.max("count") > 1).alias("_tied"))
+    t = mann_whitney(both, by, "_first", "_value").join(ties, by)
+    small = ~F.col("_tied") & (F.col("n1") < exact_below) & (F.col("n0") < exact_below)
+    p = F.when(F.col("z").isNull(), None).when(small, exact_rank_p("u", "n1", "n0")).otherwise(chi_square_survival(F.col("z") * F.col("z"), F.lit(1)))
+    t = t.withColumn("p", p)
+    late = Window.partitionBy(*keys).orderBy(F.desc("p"))
+    place = F.sum(F.when(F.col("p").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(F.col("p").asc_nulls_last()))
+    m = F.count("p").over(Window.partitionBy(*keys))
+    t = t.withColumn("_q", F.col("p") * m / place)
+    return t.select(*by, "n1", "n0", "u", "z", "p", F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.min("_q").over(late))).alias("q"))

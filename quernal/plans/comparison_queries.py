@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import comparisons
-from ..operators import clusters
+from ..operators import clusters, distances
 from ..sources.tables import read
 
 QUERIES: dict = {}
@@ -146,3 +146,34 @@ SELECT p_brand, kept / total AS agreement FROM k WHERE r = 1""")
 def label_alignment(spark, sf):
     p = read(spark, sf, "part").select("p_brand", (F.col("p_size") % 3).cast("int").alias("a"), (F.col("p_partkey") % 3).cast("int").alias("b"))
     return clusters.align_labels(p, "p_brand", "a", "b", 3).select("p_brand", "agreement")
+
+
+@query("""WITH p AS (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice IS NOT NULL), g AS (SELECT DISTINCT o_orderpriority, o_orderstatus FROM p),
+k AS (SELECT x.o_orderpriority, x.o_orderstatus AS a, y.o_orderstatus AS b FROM g x JOIN g y ON x.o_orderpriority = y.o_orderpriority AND x.o_orderstatus < y.o_orderstatus),
+r AS (SELECT k.*, o_orderstatus = a AS one, rank() OVER w + (count(*) OVER (PARTITION BY k.o_orderpriority, a, b, o_totalprice) - 1) / 2 AS x, count(*) OVER (PARTITION BY k.o_orderpriority, a, b, o_totalprice) AS c
+      FROM k JOIN p ON p.o_orderpriority = k.o_orderpriority AND p.o_orderstatus IN (a, b) WINDOW w AS (PARTITION BY k.o_orderpriority, a, b ORDER BY o_totalprice)),
+s AS (SELECT o_orderpriority, a, b, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (one) AS DOUBLE) AS m, sum(x) FILTER (one) AS t, sum(CAST(c * c - 1 AS DOUBLE)) AS ties FROM r GROUP BY o_orderpriority, a, b),
+v AS (SELECT *, t - m * (m + 1) / 2 AS u, m * (n - m) / 12 * (n + 1 - ties / (n * (n - 1))) AS var FROM s)
+SELECT o_orderpriority, a, b, CAST(m AS BIGINT) AS n1, CAST(n - m AS BIGINT) AS n0, u, CASE WHEN var > 0 THEN round((u - m * (n - m) / 2 - sign(u - m * (n - m) / 2) * 0.5) / sqrt(var), 9) END AS z FROM v""")
+def pairwise_rank_tests(spark, sf):
+    t = comparisons.pairwise_ranks(read(spark, sf, "orders"), ["o_orderpriority"], "o_orderstatus", "o_totalprice")
+    return t.select("o_orderpriority", "a", "b", "n1", "n0", "u", F.round("z", 9).alias("z"))
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS k FROM customer GROUP BY 1, 2), s AS (SELECT DISTINCT c_mktsegment FROM customer),
+v AS (SELECT n_regionkey, n_nationkey, s.c_mktsegment, coalesce(k, 1) AS k FROM nation CROSS JOIN s LEFT JOIN c ON c_nationkey = n_nationkey AND c.c_mktsegment = s.c_mktsegment)
+SELECT x.n_regionkey, x.n_nationkey AS a, y.n_nationkey AS b, round(avg(abs(x.k - y.k)), 9) AS distance FROM v x JOIN v y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey AND x.c_mktsegment = y.c_mktsegment GROUP BY 1, 2, 3""")
+def dosage_distances(spark, sf):
+    """Nations of a region by their customers a segment."""
+    c = read(spark, sf, "customer")
+    names = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # the segments, five by the schema
+    counts = c.groupBy("c_nationkey").pivot("c_mktsegment", names).count()
+    v = read(spark, sf, "nation").join(counts, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("n_regionkey", "n_nationkey", F.array(*[F.col(f"`{n}`") for n in names]).alias("v"))
+    return distances.dosage_distance(v, "n_regionkey", "n_nationkey", "v").withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def local_structure_distances(spark, sf):
+    """Embedding dimensions as samples, labels as windows."""
+    windows = distances.window_eigen(read(spark, sf, "embeddings"), "label", "embedding")
+    return distances.local_structure_distance(windows.withColumn("k", F.lit(1)), "k", "label").drop("k")
