@@ -7,6 +7,7 @@ before the shuffle and only distinct values of a key are ordered.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -239,3 +240,22 @@ def pairwise_ranks(df: DataFrame, keys: list[str], group: str, value: str, exact
     m = F.count("p").over(Window.partitionBy(*keys))
     t = t.withColumn("_q", F.col("p") * m / place)
     return t.select(*by, "n1", "n0", "u", "z", "p", F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.min("_q").over(late))).alias("q"))
+
+
+def co_association(votes: DataFrame, keys: list[str], weight: str, visited: str, excluded: str, alternatives: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Per pair of bands a < b that some vote mentions: weight together, apart, and the share together.
+
+    A vote puts two bands together that it visits both, or excludes both unless
+    they are `alternatives` of one another; one visited and one excluded are
+    apart.  A band counts once a vote.  Votes without a positive weight take no
+    part, null lists are empty, null bands are passed over; pairs that no vote
+    mentions are left out.
+    """
+    kind = votes.schema[visited].dataType
+    lists = votes.where(F.col(weight) > 0).select(*keys, F.col(weight).alias("_w"), *[F.coalesce(F.col(c), F.array().cast(kind)).alias(n) for c, n in ((visited, "_in"), (excluded, "_out"))])
+    pairs = lists.withColumn("_all", F.array_union("_in", "_out")).withColumn("a", F.explode("_all")).withColumn("b", F.explode("_all")).where("a < b")
+    both = lambda c: F.array_contains(c, F.col("a")) & F.array_contains(c, F.col("b"))
+    apart = F.lit(False) if alternatives is None else F.coalesce(alternatives(F.col("a"), F.col("b")), F.lit(False))
+    joined = both("_in") | (both("_out") & ~apart)
+    t = pairs.withColumn("_with", F.coalesce(joined, F.lit(False))).groupBy(*keys, "a", "b").agg(F.sum(F.when(F.col("_with"), F.col("_w")).otherwise(0)).alias("together"), F.sum(F.when(F.col("_with"), 0).otherwise(F.col("_w"))).alias("apart"))
+    return t.withColumn("share", F.col("together") / (F.col("together") + F.col("apart")))

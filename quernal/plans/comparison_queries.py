@@ -177,3 +177,15 @@ def local_structure_distances(spark, sf):
     """Embedding dimensions as samples, labels as windows."""
     windows = distances.window_eigen(read(spark, sf, "embeddings"), "label", "embedding")
     return distances.local_structure_distance(windows.withColumn("k", F.lit(1)), "k", "label").drop("k")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT user_id, CAST(sum(n) AS DOUBLE) AS weight FROM c GROUP BY 1),
+p AS (SELECT x.event_type AS a, y.event_type AS b, weight, (x.n >= 3) = (y.n >= 3) AS one FROM c x JOIN c y ON x.user_id = y.user_id AND x.event_type < y.event_type JOIN w ON w.user_id = x.user_id),
+s AS (SELECT a, b, coalesce(sum(weight) FILTER (one), 0) AS together, coalesce(sum(weight) FILTER (NOT one), 0) AS apart FROM p GROUP BY a, b)
+SELECT a, b, together, apart, together / (together + apart) AS share FROM s""")
+def co_association(spark, sf):
+    """A user votes for the event types they have three times or more, against those they have less often."""
+    c = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    held = lambda often: F.collect_list(F.when((F.col("n") >= 3) == often, F.col("event_type")))
+    votes = c.groupBy("user_id").agg(F.sum("n").cast("double").alias("weight"), held(F.lit(True)).alias("visited"), held(F.lit(False)).alias("excluded"))
+    return comparisons.co_association(votes, [], "weight", "visited", "excluded")

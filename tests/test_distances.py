@@ -62,3 +62,13 @@ def test_pairwise_rank_tests(spark):
     assert got["k", "a", "b"].u == 0 and got["k", "a", "b"].p == pytest.approx(0.1) and got["k", "a", "b"].q == pytest.approx(0.15)
     assert got["k", "b", "c"].p == pytest.approx(1.0)
     assert got["m", "a", "b"].p is None and got["m", "a", "b"].q is None
+
+
+def test_co_association(spark):
+    rows = [("k", 2.0, [0, 1, 1], [2, 3]), ("k", 1.0, [2], [0, 3, None]), ("k", 0.0, [0, 3], []), ("k", 1.0, None, [2, 3]), ("k", 4.0, [], None)]
+    df = spark.createDataFrame(rows, "k string, w double, i array<int>, o array<int>")
+    got = lambda rule=None: {(r.a, r.b): (r.together, r.apart) for r in comparisons.co_association(df, ["k"], "w", "i", "o", rule).collect()}
+    plain = {(0, 1): (2, 0), (0, 2): (0, 3), (0, 3): (1, 2), (1, 2): (0, 2), (1, 3): (0, 2), (2, 3): (3, 1)}
+    assert got() == plain
+    assert got(lambda a, b: (a == 2) & (b == 3)) == plain | {(2, 3): (0, 4)}
+    assert comparisons.co_association(df.where("w > 9"), ["k"], "w", "i", "o").count() == 0
