@@ -189,3 +189,13 @@ def co_association(spark, sf):
     held = lambda often: F.collect_list(F.when((F.col("n") >= 3) == often, F.col("event_type")))
     votes = c.groupBy("user_id").agg(F.sum("n").cast("double").alias("weight"), held(F.lit(True)).alias("visited"), held(F.lit(False)).alias("excluded"))
     return comparisons.co_association(votes, [], "weight", "visited", "excluded")
+
+
+@query()
+def trajectory_clusters(spark, sf):
+    """Nations of a region by their customers a segment."""
+    c = read(spark, sf, "customer")
+    names = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # the segments, five by the schema
+    counts = c.groupBy("c_nationkey").pivot("c_mktsegment", names).count()
+    v = read(spark, sf, "nation").join(counts, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("n_regionkey", "n_nationkey", F.array(*[F.col(f"`{n}`") for n in names]).alias("v"))
+    return clusters.trajectory_clusters(v, "n_regionkey", "n_nationkey", "v", k=2)

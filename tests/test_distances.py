@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quernal.functions import comparisons
-from quernal.operators import distances
+from quernal.operators import clusters, distances
 
 
 def brute_cov(x):
@@ -72,3 +72,21 @@ def test_co_association(spark):
     assert got() == plain
     assert got(lambda a, b: (a == 2) & (b == 3)) == plain | {(2, 3): (0, 4)}
     assert comparisons.co_association(df.where("w > 9"), ["k"], "w", "i", "o").count() == 0
+
+
+def test_trajectory_clusters_against_merge_costs(spark):
+    """On one line Ward's distance is the cost of a merge by sizes and means; three equal places triple it."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=14)
+    sets = [[i] for i in range(14)]
+    while len(sets) > 4:
+        cost = lambda p, q: len(p) * len(q) / (len(p) + len(q)) * (x[p].mean() - x[q].mean()) ** 2
+        i, j = min(((i, j) for i in range(len(sets)) for j in range(i)), key=lambda ij: cost(sets[ij[0]], sets[ij[1]]))
+        sets[j] += sets.pop(i)
+    rows = [("a", i, [float(v)] * 3 + [None]) for i, v in enumerate(x)] + [("b", i, [0.0, 1.0, 2.0]) for i in range(3)] + [("c", i, [1.0, None, 2.0]) for i in range(5)] + [("a", 99, None), (None, 1, [1.0])]
+    df = spark.createDataFrame(rows, "g string, s int, v array<double>")
+    got = {}
+    for r in clusters.trajectory_clusters(df, "g", "s", "v", k=4).collect():
+        got.setdefault(r.g, {})[r.s] = r.cluster
+    assert {frozenset(i for i in got["a"] if got["a"][i] == c) for c in range(4)} == {frozenset(s) for s in sets}
+    assert got["a"][0] == 0 and 99 not in got["a"] and set(got["b"].values()) == {None} and set(got["c"].values()) == {None}
