@@ -1,11 +1,12 @@
 """License scan by conditional compression.
 
 The words around each mention of a license, whatever lines they stand on, are
-aligned with every template.  A notice has its template's names and versions
-and no others, and differs in a bounded number of other words; where notices
-overlap, those with the fewest differences stay.  The lines of a notice are
-compressed once plainly and once with its template as a raw zstandard
-dictionary: the bytes saved rank the notices.
+compressed once plainly and once with each template as a raw zstandard
+dictionary.  Every template that saves bytes is a candidate, however many there
+are, and only those are aligned with the words: a notice has its template's
+names and versions and no others, and differs in a bounded number of other
+words; where notices overlap, those with the fewest differences stay.  The bytes
+that a template saves on the lines of its notice rank the notices.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ NAMELESS = frozenset(("0BSD", "proprietary"))
 #: A word that names one license and is common besides.
 COMMON = frozenset(("by",))
 LEVEL = 19
+#: Words from one compressed piece to the next: more of them would drown short templates in the rest of a piece.
+STEP = 8
 BLOCK_CHARS = 4096
 ROW = "doc_id long, line long, license string, saved_bytes long, differences long, text string"
 
@@ -70,8 +73,9 @@ class Scanner:
         self.names = {k: frozenset() if k in NAMELESS else frozenset(v) - PLAIN for k, v in self.words.items()}
         self.any_name = frozenset().union(*self.names.values()) - COMMON
         self.reach = 2 * max(map(len, self.words.values()))
+        self.span = max(len(v) + self.bounds(k)[0] for k, v in self.words.items())
         self.plain = zstd.ZstdCompressor(level=LEVEL)
-        self.with_template = {k: zstd.ZstdCompressor(level=LEVEL, dict_data=zstd.ZstdCompressionDict(v.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
+        self.with_template = {k: zstd.ZstdCompressor(level=LEVEL, dict_data=zstd.ZstdCompressionDict(" ".join(self.words[k]).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
         self.answers: OrderedDict[tuple, object] = OrderedDict()
         self.memory = memory
 
@@ -84,9 +88,19 @@ class Scanner:
             self.answers.popitem(last=False)
         return out
 
-    def saved(self, name: str, block: str) -> int:
-        raw = block.encode()
-        return len(self.plain.compress(raw)) - len(self.with_template[name].compress(raw))
+    def saved(self, names, block: str) -> dict[str, int]:
+        """Bytes that each template saves on the words of a block, in lower case with one space between."""
+        raw = " ".join(words(block)).encode()
+        plain = len(self.plain.compress(raw))
+        return {k: plain - len(self.with_template[k].compress(raw)) for k in names}
+
+    def candidates(self, own: list[str]) -> set[str]:
+        """Templates that save bytes on some piece of the words; a notice lies whole in a piece that is little longer."""
+        out: set[str] = set()
+        for a in range(0, max(1, len(own) - self.span), STEP):
+            piece = own[a : a + self.span + STEP]
+            out |= self.remember(("", *piece), lambda piece=piece: {k for k, n in self.saved(self.words, " ".join(piece)).items() if n > 0})
+        return out
 
     def bounds(self, name: str) -> tuple[int, int]:
         """Most words that may differ, and most of the template's that may be lost or changed."""
@@ -138,7 +152,8 @@ class Scanner:
 
     def passage(self, own: list[str]) -> list[tuple[str, int, int, int]]:
         """(license, differences, first word, end) of the notices; of overlapping ones those that differ least."""
-        found = [(k, *x) for k in self.words for x in self.align(k, own)]
+        likely = self.candidates(own)
+        found = [(k, *x) for k in self.words if k in likely for x in self.align(k, own)]
         return [x for x in found if not any(y[1] < x[1] and y[2] < x[3] and x[2] < y[3] for y in found)]
 
     def notices(self, text: str) -> list[tuple[int, str, int, int, str]]:
@@ -164,7 +179,7 @@ class Scanner:
                     begin, end = max(begin, first - BLOCK_CHARS // 2), min(end, last + BLOCK_CHARS // 2)
                 block = text[begin:end]
                 if (line, k) not in best or diff < best[line, k][1]:
-                    best[line, k] = self.remember((k, block, None), lambda k=k, block=block: self.saved(k, block)), diff, block
+                    best[line, k] = self.remember((k, block, None), lambda k=k, block=block: self.saved([k], block)[k]), diff, block
         return sorted(((line, k, *x) for (line, k), x in best.items()), key=lambda x: (x[0], -x[2], x[1]))
 
     def scan(self, block: str) -> list[tuple[str, int, int]]:

@@ -326,6 +326,31 @@ def test_licenses_over_lines_and_with_other_words(spark):
     assert got == {(1, 1, "Apache-2.0", 0), (2, 0, "LGPL-2.1", 0), (3, 0, "MIT", 3), (4, 0, "GPL-2.0", 1), (6, 0, "proprietary", 0), (6, 2, "proprietary", 0), (8, 0, "MIT", 0), (8, 1, "ISC", 0)}
 
 
+def test_licenses_are_found_by_what_their_templates_save(monkeypatch):
+    """Without savings there is no notice; with them none is lost that any template's alignment finds."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rng = random.Random(12)
+    filler = [f"{a}{b}" for a in ("under", "free", "soft", "qu", "the", "lic") for b in ("ware", "", "ing", "ense", "x7")] + "the of to under license licensed version public general".split()
+    for trial in range(150):
+        own = []
+        for name in rng.sample(list(scanner.words), 1 + trial % 3):
+            t, (most, lost) = list(scanner.words[name]), scanner.bounds(name)
+            for _ in range(rng.randint(0, lost)):
+                free = [i for i, w in enumerate(t) if w not in scanner.names[name]]
+                if free:
+                    i = rng.choice(free)
+                    t[i : i + 1] = [rng.choice(filler)] * rng.randint(0, 1)
+            for _ in range(rng.randint(0, most - lost)):
+                t.insert(rng.randint(1, len(t)), rng.choice(filler))
+            own += [rng.choice(filler) for _ in range(rng.choice((0, 5, 60, 300)))] + t
+        found = {k for k in scanner.words if scanner.align(k, own)}
+        assert found <= scanner.candidates(own), (found, own)
+    text = "Released under the MIT License. RELEASED UNDER THE ISC LICENSE."
+    assert {(k, n > 0) for k, n, _ in scanner.scan(text)} == {("MIT", True), ("ISC", True)}
+    monkeypatch.setattr(licenses.Scanner, "saved", lambda self, names, block: dict.fromkeys(names, 0))
+    assert licenses.Scanner(licenses.TEMPLATES).scan(text) == []
+
+
 def test_license_at_any_place_of_a_long_line():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     for gap in [*range(1990, 2080), 2500, 4090]:
